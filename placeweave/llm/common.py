@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -51,3 +52,8 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
         step = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+
+
+def joined_small(df: DataFrame, small: DataFrame, on, how: str = "left", bound: int = 500_000) -> DataFrame:
+    """``df`` joined with ``small``, which is broadcast only if it was counted to have ``bound`` rows at most; beyond that, both sides shuffle."""
+    return df.join(F.broadcast(small) if small.limit(bound + 1).count() <= bound else small, on, how)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import media, secrets
-from placeweave.llm.common import read
+from placeweave.llm import media, mixing, packing, secrets, sharding
+from placeweave.llm.common import read, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -31,3 +32,23 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     return secrets.scan_secrets(docs, with_redacted=False).drop("text")
+
+
+@query("op4_source_mix")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text", "source")
+    keyed = saved(mixing.with_keys(docs).drop("text"), "keyed")
+    return mixing.mix(keyed).select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE_SQL["op4_source_mix"] = mixing.ORACLE
+
+
+@query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op8_byte_shards")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
