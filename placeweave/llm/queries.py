@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import media, mixing, neighbours, packing, secrets, sharding, toxicity
+from placeweave.llm import media, mixing, near_dedup, neighbours, packing, secrets, sharding, toxicity
 from placeweave.llm.common import read, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_learned_partitions")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op10_near_duplicates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), 85)
