@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import media, mixing, near_dedup, neighbours, packing, secrets, sharding, toxicity
+from placeweave.llm import media, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, toxicity
 from placeweave.llm.common import read, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_near_duplicates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), 85)
+
+
+@query("op9_repeated_passages")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup_substrings(read(spark, sf_dir, "documents"))
