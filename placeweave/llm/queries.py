@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import media, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, toxicity
+from placeweave.llm import media, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, token_counts, toxicity
 from placeweave.llm.common import read, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_repeated_passages")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup_substrings(read(spark, sf_dir, "documents"))
+
+
+@query("op5_edit_aware_token_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    edited = docs.withColumn("edits", token_counts.sample_edits(F.col("doc_id"), F.col("text")))
+    return token_counts.count_tokens(edited, public_tokenizers.path("byte_bpe_50k.json")).drop("text", "edits")
