@@ -188,10 +188,20 @@ def search(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
             held = np.cumsum(sizes[order], axis=1) - sizes[order]  # in the parts before
             probe = (np.arange(parts) < router.probes) | (held < k + 1)
             at, nth = np.nonzero(probe)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(order[at, nth].astype(np.int32))], names=["first", "v", "part"])
+            least = floor(_matrix(batch.column(1), dim))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(order[at, nth].astype(np.int32)), pa.array(least[at])], names=["first", "v", "part", "least"])
+
+    near = np.ascontiguousarray(x.T)
+
+    def floor(q: np.ndarray) -> np.ndarray:
+        """A score that the k + 1 best of all vectors reach, as those of the sample do: what is below need not be sent on."""
+        if near.shape[1] <= k:
+            return np.full(len(q), -np.inf)
+        out = np.concatenate([np.partition(q[at : at + 256] @ near, near.shape[1] - k - 1, axis=1)[:, near.shape[1] - k - 1] for at in range(0, len(q), 256)] or [np.empty(0)])
+        return out - 1e-9 * (1 + np.abs(out))
 
     queries = vectors.join(asked.select("first").distinct(), "first", "left_semi").select("first", "v")
-    routed = saved(queries.mapInArrow(route, "first long, v array<double>, part int"), "routed")
+    routed = saved(queries.mapInArrow(route, "first long, v array<double>, part int, least double"), "routed")
     sent = dict(routed.groupBy("part").count().collect())
     blocks = {p: (max(1, -(-int(sizes[p]) // BLOCK)), max(1, -(-sent.get(p, 0) // QUERY_BLOCK))) for p in range(parts)}
     b, qb = (F.element_at(F.array(*(F.lit(blocks[p][i]) for p in range(parts))), F.col("part") + 1) for i in (0, 1))
@@ -204,11 +214,12 @@ def search(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
         if have.num_rows and want.num_rows:
             c, q = _matrix(have["v"].combine_chunks(), dim), _matrix(want["v"].combine_chunks(), dim)
             firsts, asks = have["first"].to_numpy(), want["first"].to_numpy()
+            lowest = want["least"].to_numpy()
             lists, few = have["ids"].combine_chunks(), min(k + 1, len(c))
             for at in range(0, len(q), 512):
                 s = q[at : at + 512] @ c.T
                 cut = np.partition(s, len(c) - few, axis=1)[:, len(c) - few]
-                r, col = np.nonzero(s >= (cut - 1e-9 * (1 + np.abs(cut)))[:, None])
+                r, col = np.nonzero(s >= np.maximum(cut - 1e-9 * (1 + np.abs(cut)), lowest[at : at + 512])[:, None])
                 exact = (q[at + r] * c[col]).sum(axis=1)
                 order = np.lexsort((firsts[col], -exact, r))
                 r, col, exact = r[order], col[order], exact[order]
