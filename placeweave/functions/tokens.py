@@ -100,29 +100,32 @@ def explicit_patterns(tokens: Column) -> Column:
     def token(i: Column) -> Column:
         return F.coalesce(F.try_element_at(tokens, (i + 1).cast("int")), F.lit(""))
 
-    def step(state: Column, i: Column) -> Column:
-        here, after = token(i), token(i + 1)
-        two = ((here == "thanh") & (after == "pho")) | ((here == "thi") & (after == "xa"))
-        kind = (
-            F.when(two | here.isin("tp", "tx"), "city").when(here.isin("huyen", "h"), "rural").when(here.isin("quan", "q"), "urban").when(here.isin("phuong", "p", "xa", "x"), "ward")
-        )
-        start = i + F.when(two, 2).otherwise(1)
-        free = [(token(start + j) != "") & ~token(start + j).isin(*K.SCANNER_KEYWORDS) for j in range(3)]
+    def begins(t: Column, i: Column) -> Column:
+        after = token(i + 1)
+        two = ((t == "thanh") & (after == "pho")) | ((t == "thi") & (after == "xa"))
+        kind = F.when(two | t.isin("tp", "tx"), "city").when(t.isin("huyen", "h"), "rural").when(t.isin("quan", "q"), "urban").when(t.isin("phuong", "p", "xa", "x"), "ward")
+        return F.struct(i.alias("i"), kind.alias("kind"), (i + F.when(two, 2).otherwise(1)).cast("int").alias("start"))
+
+    def named(x: Column) -> Column:
+        free = [(token(x["start"] + j) != "") & ~token(x["start"] + j).isin(*K.SCANNER_KEYWORDS) for j in range(3)]
         n = F.when(~free[0], 0).when(~free[1], 1).when(~free[2], 2).otherwise(3)
-        part = F.slice(tokens, start + 1, n)
-        name = F.array_join(part, " ")
-        name = F.when(kind.isin("urban", "ward"), T.admin_number(name)).otherwise(name)
-        found = F.struct(name.alias("name"), start.cast("int").alias("s"), (start + n).cast("int").alias("e"))
-        scans = kind.isNotNull() & (i >= state["next"])
-        good = scans & (n > 0) & ~((kind == "rural") & has_noise(part))
+        return F.struct(x["i"].alias("i"), x["kind"].alias("kind"), x["start"].alias("start"), F.slice(tokens, x["start"] + 1, n).alias("part"))
+
+    def step(state: Column, x: Column) -> Column:
+        scans = x["i"] >= state["next"]
+        good = scans & (F.size(x["part"]) > 0) & ~((x["kind"] == "rural") & has_noise(x["part"]))
+        name = F.array_join(x["part"], " ")
+        name = F.when(x["kind"].isin("urban", "ward"), T.admin_number(name)).otherwise(name)
+        found = F.array(F.struct(name.alias("name"), x["start"].alias("s"), (x["start"] + F.size(x["part"])).alias("e")))
         return F.struct(
-            F.when(scans, start + n).otherwise(state["next"]).cast("int").alias("next"),
-            F.when(good & (kind != "ward"), F.concat(state["districts"], F.array(found))).otherwise(state["districts"]).cast(item).alias("districts"),
-            F.when(good & (kind == "ward"), F.concat(state["wards"], F.array(found))).otherwise(state["wards"]).cast(item).alias("wards"),
+            F.when(scans, x["start"] + F.size(x["part"])).otherwise(state["next"]).cast("int").alias("next"),
+            F.when(good & (x["kind"] != "ward"), F.concat(state["districts"], found)).otherwise(state["districts"]).cast(item).alias("districts"),
+            F.when(good & (x["kind"] == "ward"), F.concat(state["wards"], found)).otherwise(state["wards"]).cast(item).alias("wards"),
         )
 
     zero = F.struct(F.lit(0).alias("next"), F.array().cast(item).alias("districts"), F.array().cast(item).alias("wards"))
-    return F.aggregate(F.transform(tokens, lambda _, i: i), zero, step, lambda s: F.struct(s["districts"].alias("districts"), s["wards"].alias("wards")))
+    scanned = F.transform(F.filter(F.transform(tokens, begins), lambda x: x["kind"].isNotNull()), named)
+    return F.aggregate(scanned, zero, step, lambda s: F.struct(s["districts"].alias("districts"), s["wards"].alias("wards")))
 
 
 def covered(spans: list[tuple[Column, Column]]) -> Column:

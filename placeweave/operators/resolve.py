@@ -208,7 +208,7 @@ def resolve(df: DataFrame, gaz: G.Gazetteer, address: str = "address", province_
     rows = staged(prepare(df, address, province_hint, district_hint, row_id), "addresses")
     best = staged(candidates(rows, gaz, strict_compat).where("cand_rank = 1"), "winners")
     out = rows.select("row_id", "raw", "norm", "tokens").join(best, "row_id", "left")
-    out = G.full_names(out, gaz.divisions)
+    out = staged(G.full_names(out, gaz.divisions), "full")
     codes = [G.exact_match(out.select("row_id", *k).where(" and ".join(f"{c} is not null" for c in k)), gaz.divisions, k).select("row_id", F.col("state_code").alias(f"s{len(k)}"), F.col("county_code").alias(f"c{len(k)}")) for k in (("p", "d"), ("p", "d", "w"))]
     for c in codes:
         out = out.join(c, "row_id", "left")
