@@ -148,8 +148,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     mixed = kinds.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1")
     wanted = kinds.join(mixed, "h").select("h", "ch", "contents", "f.doc", "f.start", "f.th", "f.n")
     lists = saved(_packed(wanted, ["h", "ch", "start", "n", "contents"], "want"), "wanted")
-    size = lists.agg(F.sum(F.size("want") * 48 + 32)).first()[0] or 0
-    source = keyed.select("doc", "th", "text").join(F.broadcast(lists) if size <= 48 << 20 else lists, ["doc", "th"])
+    source = keyed.select("doc", "th", "text").join(lists, ["doc", "th"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -211,3 +210,14 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     judged = keyed.join(_bounded(gone, "gone"), ["doc", "th"], "left").select("doc_id", "text", "gone")
     return judged.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
+
+
+ORACLE = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+win as (select doc_id, i, array_to_string(ws[i + 1 : i + 20], ' ') as k from w, lateral (select unnest(range(0, greatest(len(ws) - 19, 0))) as i)),
+late as (select doc_id, i from (select doc_id, i, row_number() over (partition by k order by doc_id, i) as n from win) where n > 1),
+gone as (select distinct doc_id, i + j as p from late, range(20) r(j)),
+word as (select doc_id, unnest(ws) as x, unnest(range(0, len(ws))) as p from w),
+kept as (select word.doc_id, count(*) as n, string_agg(x, ' ' order by word.p) as t from word anti join gone on word.doc_id = gone.doc_id and word.p = gone.p group by 1)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from w left join kept using (doc_id)
+"""
