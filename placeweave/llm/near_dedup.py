@@ -151,3 +151,17 @@ def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One document of each group, the one with the smallest id, with its columns."""
     gone = near_duplicates(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone__")).distinct()
     return joined_small(docs, saved(gone, "gone"), docs["doc_id"].cast("long") == F.col("gone__"), "left_anti")
+
+
+ORACLE = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents
+), s as (
+  select distinct doc_id, array_to_string(ws[i + 1 : i + 5], ' ') as k from w, lateral (select unnest(range(0, greatest(len(ws) - 4, 1))) as i) where len(ws) > 0
+), n as (select doc_id, count(*) as n from s group by 1),
+pair as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.k = b.k and a.doc_id <> b.doc_id group by 1, 2),
+link as (select a, b from pair join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach as (select doc_id as a, doc_id as b from documents union select reach.a, link.b from reach join link on reach.b = link.a),
+root as (select a as doc_id, min(b) as component_id from reach group by 1)
+select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, doc_id = component_id as kept from documents left join n using (doc_id) join root using (doc_id)
+"""

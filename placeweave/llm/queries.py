@@ -82,3 +82,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     edited = docs.withColumn("edits", token_counts.sample_edits(F.col("doc_id"), F.col("text")))
     return token_counts.count_tokens(edited, public_tokenizers.path("byte_bpe_50k.json")).drop("text", "edits")
+
+
+ORACLE_SQL["op9_repeated_passages"] = repeats.ORACLE
+ORACLE_SQL["op10_near_duplicates"] = near_dedup.ORACLE
