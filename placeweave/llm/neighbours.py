@@ -35,12 +35,12 @@ BLOCK, QUERY_BLOCK = 4096, 4096
 def _top(a: np.ndarray, b: np.ndarray, k: int, skip_own: bool) -> np.ndarray:
     """Indices of the k largest inner products with rows of b, for each row of a, in blocks; own: row i of a is row i of b."""
     out = np.empty((len(a), k), np.int64)
-    for at in range(0, len(a), 1024):
-        s = a[at : at + 1024] @ b.T
+    for at in range(0, len(a), 256):
+        s = a[at : at + 256] @ b.T
         if skip_own:
             s[np.arange(len(s)), at + np.arange(len(s))] = -np.inf
         part = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        out[at : at + 1024] = np.take_along_axis(part, np.argsort(-np.take_along_axis(s, part, 1), axis=1), 1)
+        out[at : at + 256] = np.take_along_axis(part, np.argsort(-np.take_along_axis(s, part, 1), axis=1), 1)
     return out
 
 
@@ -132,7 +132,7 @@ def learn(x: np.ndarray, parts: int, k: int, recall: float = RECALL, seed: int =
     np.add.at(target, (np.repeat(np.arange(len(x)), graph.shape[1]), label[graph].reshape(-1)), 1.0)
     target[np.arange(len(x)), label] += 2.0
     router.fit(x, target / target.sum(1, keepdims=True), rng)
-    asked = rng.permutation(len(x))[:1000]
+    asked = rng.permutation(len(x))[:500]
     s = x[asked] @ x.T
     s[np.arange(len(asked)), asked] = -np.inf
     want = np.argpartition(-s, min(k, len(x) - 2), axis=1)[:, : min(k, len(x) - 1)]
@@ -188,17 +188,21 @@ def search(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
             held = np.cumsum(sizes[order], axis=1) - sizes[order]  # in the parts before
             probe = (np.arange(parts) < router.probes) | (held < k + 1)
             at, nth = np.nonzero(probe)
-            least = floor(_matrix(batch.column(1), dim))
+            in_part = np.zeros((len(order), parts), bool)
+            in_part[at, order[at, nth]] = True
+            least = floor(_matrix(batch.column(1), dim), in_part)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(order[at, nth].astype(np.int32)), pa.array(least[at])], names=["first", "v", "part", "least"])
 
-    near = np.ascontiguousarray(x.T)
+    near, near_home = np.ascontiguousarray(x.T), router.logits(x).argmax(1)
 
-    def floor(q: np.ndarray) -> np.ndarray:
-        """A score that the k + 1 best of all vectors reach, as those of the sample do: what is below need not be sent on."""
-        if near.shape[1] <= k:
-            return np.full(len(q), -np.inf)
-        out = np.concatenate([np.partition(q[at : at + 256] @ near, near.shape[1] - k - 1, axis=1)[:, near.shape[1] - k - 1] for at in range(0, len(q), 256)] or [np.empty(0)])
-        return out - 1e-9 * (1 + np.abs(out))
+    def floor(q: np.ndarray, probed: np.ndarray) -> np.ndarray:
+        """A score that the k + 1 best in a query's parts reach, as those of the sample there do: what is below need not be sent on."""
+        out = np.full(len(q), -np.inf)
+        cut = near.shape[1] - k - 1
+        for at in range(0, len(q) if cut >= 0 else 0, 256):
+            s = np.where(probed[at : at + 256][:, near_home], q[at : at + 256] @ near, -np.inf)
+            out[at : at + 256] = np.partition(s, cut, axis=1)[:, cut]
+        return np.where(np.isfinite(out), out - 1e-9 * (1 + np.abs(out)), out)
 
     queries = vectors.join(asked.select("first").distinct(), "first", "left_semi").select("first", "v")
     routed = saved(queries.mapInArrow(route, "first long, v array<double>, part int, least double"), "routed")
