@@ -170,6 +170,7 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     later = single.join(single.groupBy("w").agg(F.min("p").alias("least")), "w").where("least < p").groupBy("h", "ch").agg(F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("mask"))
     masks = saved(masks.union(later), "masks")
     known = kinds.join(masks, ["h", "ch"], "left").where("c > 1 or mask is not null").select("h", "ch", F.col("f.doc").alias("fd"), F.col("f.start").alias("fs"), F.coalesce("mask", F.lit(0)).alias("mask"))
+    known = saved(known, "known")  # both sides of the join below are then plain shuffles, which can be split where a span is common
     all_bits = F.expr("shiftleft(1, n) - 1")
     bits = F.when((F.col("doc") == F.col("fd")) & (F.col("start") == F.col("fs")), F.col("mask")).otherwise(all_bits)
     marks = again.join(known, ["h", "ch"]).select("doc", "th", "start", bits.alias("mask")).where("mask <> 0").distinct()
