@@ -8,7 +8,10 @@ all. The order is dealt out by ranges that may cut anywhere, also within a group
 are compared once more.
 
 Candidates are confirmed on the full sets, first those of two trees; of the others, only those whose ends these do not
-already connect. The components of the confirmed links are the groups. Shingles are compared by 64-bit hashes.
+already connect. Where more classes share a prefix than an order's neighbours reach and these links leave them in several
+groups, as the many variants of one original that are not like each other, all of them are compared: in blocks, each with
+each, by counting common shingles. The components of the confirmed links are the groups. Shingles are compared by 64-bit
+hashes.
 
 Null and empty texts have no shingles and are linked with nothing; a text shorter than five words is one shingle. Null
 ids are linked with nothing and kept. Rows that share an id are one document: what either is linked with, both are.
@@ -33,6 +36,8 @@ from placeweave.llm.shingles import mixed_bits, overlap, shingle_sets
 
 WIDTH, TREES, DEPTH, MIN_DEPTH, REACH, FIRST_TREES = 5, 16, 6, 3, 4, 2
 KEYS = mixed_bits(np.arange(1, 2 * TREES * DEPTH + 1, dtype=np.uint64))
+#: A block of classes with one prefix holds about so many shingles, where a class counts as LEAST at least; shingles of more than COMMON classes are counted by a matrix product.
+BLOCK, LEAST, COMMON = 1 << 18, 256, 32
 MULTIPLY, ADD = KEYS[::2] | np.uint64(1), KEYS[1::2]
 
 
@@ -122,6 +127,87 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("l", "r", "a", "b").mapInArrow(check, "l long, r long").distinct()
 
 
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each set of ``left`` (numbers of sets) shares with each of ``right``; these are the same numbers or have none in common."""
+    values, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    row, column = np.full(len(sets), -1), np.full(len(sets), -1)
+    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+    counts = np.zeros((len(left), len(right)), np.float32)
+    rare = (df[inverse] > 1) & (df[inverse] <= COMMON)
+    order = np.argsort(inverse[rare], kind="stable")
+    key, own = inverse[rare][order], owner[rare][order]
+    for step in range(1, COMMON):
+        same = key[step:] == key[:-step]
+        if not same.any():
+            break
+        a, b = own[:-step][same], own[step:][same]
+        for x, y in ((a, b), (b, a)):
+            inside = (row[x] >= 0) & (column[y] >= 0)
+            np.add.at(counts, (row[x[inside]], column[y[inside]]), 1)
+    common = np.flatnonzero(df > COMMON)
+    place = np.full(len(values), -1)
+    place[common] = np.arange(len(common))
+    held = place[inverse] >= 0
+    at, own = place[inverse][held], owner[held]
+    for first in range(0, len(common), 1024):
+        now = (at >= first) & (at < first + 1024)
+        has = np.zeros((len(sets), min(1024, len(common) - first)), np.float32)
+        has[own[now], at[now] - first] = 1
+        counts += has[left] @ has[right].T
+    return counts
+
+
+def _blocks_met(percent: int):
+    """Links between two blocks of a prefix's classes (or within one, where all have side 0), as far as they join groups."""
+
+    def run(table: pa.Table) -> pa.Table:
+        cid, root, side = (table[c].to_numpy() for c in ("cid", "root", "side"))
+        found: list[tuple[int, int]] = []
+        left, right = (np.flatnonzero(side == x) for x in (0, int(side.max())))
+        if len(left) and (root != root[0]).any():
+            sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+            size = np.array([len(x) for x in sets])
+            counts = common_counts(sets, left, right)
+            parent: dict[int, int] = {}
+
+            def top(x: int) -> int:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = x = parent.get(up, up)
+                return x
+
+            for i, row in zip(left, counts.astype(np.int64), strict=True):
+                for j in right[(row > 0) & (100 * row >= percent * (size[i] + size[right] - row)) & (root[right] != root[i])]:
+                    a, b = top(int(root[i])), top(int(root[j]))
+                    if a != b:
+                        parent[max(a, b)] = min(a, b)
+                        found.append((int(cid[i]), int(cid[j])))
+        return pa.table({"l": pa.array([x for x, _ in found], pa.int64()), "r": pa.array([x for _, x in found], pa.int64())})
+
+    return run
+
+
+def crowded(classes: DataFrame, root: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """(l, r): links that the orders' neighbours leave out, for ``classes`` (cid, n, sig) in the groups ``root`` (v, root) so far."""
+    buckets = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring("sig", t * (4 * DEPTH) + 1, F.lit(4 * MIN_DEPTH))))).alias("bucket")
+    named = joined_small(classes, root.select(F.col("v").alias("cid"), "root"), "cid")
+    members = saved(named.select("cid", "n", F.coalesce("root", "cid").alias("root"), buckets), "members")
+    full = members.groupBy("bucket").agg(F.count("*").alias("rows"), F.sum(F.greatest("n", F.lit(LEAST))).alias("weight"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    full = full.where((F.col("rows") > REACH + 1) & (F.col("lo") != F.col("hi"))).select("bucket", F.ceil(F.col("weight") / BLOCK).cast("int").alias("blocks"))
+    members = saved(joined_small(members, saved(full, "full"), "bucket", "inner").select("bucket", "cid", "root", "blocks", F.pmod(F.xxhash64("cid", "bucket"), "blocks").cast("int").alias("block")), "crowded")
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 2 << 20):
+            sets = [s.tobytes() for s in shingle_sets(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.md5(s).digest() for s in sets], pa.binary()), pa.array(sets, pa.binary())], names=["cid", "set_key", "shingles"])
+
+    texts = joined_small(docs.select(F.col("doc_id").alias("cid"), "text"), saved(members.select("cid").distinct(), "ids"), "cid", "left_semi")
+    sets = saved(texts.mapInArrow(shingles, "cid long, set_key binary, shingles binary").where(F.length("shingles") > 0).dropDuplicates(["cid", "set_key"]).select("cid", "shingles"), "sets")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    paired = members.select("bucket", "cid", "root", "block", other).select("bucket", "cid", "root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+    return paired.join(sets, "cid").groupBy("bucket", "lo", "hi").applyInArrow(_blocks_met(percent), "l long, r long").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -140,7 +226,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     twice = linked.groupBy("doc_id").agg(F.min(F.xxhash64("set_key")).alias("a"), F.max(F.xxhash64("set_key")).alias("b")).where("a <> b").select("doc_id")
     shared = joined_small(linked, saved(twice, "twice"), "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(classes.select("set_key", "cid"), "set_key")
     shared = shared.join(shared.groupBy("doc_id").agg(F.min("cid").alias("a")), "doc_id").where("a <> cid").select("cid", "a")
-    root = components(root.select("v", "root").union(more).union(shared))
+    root = components(root.select("v", "root").union(more))
+    hubs = crowded(classes.select("cid", "n", "sig"), root, docs, percent)
+    root = components(root.select("v", "root").union(hubs).union(shared))
     named = rows.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "cid"), "set_key", "left")
     named = joined_small(named, root.withColumnRenamed("v", "cid"), "cid")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "cid", "doc_id"))

@@ -58,3 +58,29 @@ def test_components(spark, monkeypatch):
     want = components.union_find(pairs)
     got = components.components(spark.createDataFrame(pairs.tolist(), "a long, b long").repartition(7))
     assert {r.v: r.root for r in got.collect()} == want
+
+
+def test_common_counts_equal_intersections(monkeypatch):
+    monkeypatch.setattr(near_dedup, "COMMON", 4)
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in rng.integers(1, 40, 30)]
+    for left, right in ((np.arange(30), np.arange(30)), (np.arange(0, 30, 2), np.arange(1, 30, 2))):
+        got = near_dedup.common_counts(sets, left, right)
+        want = np.array([[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left])
+        off = left[:, None] != right[None]
+        assert (got == want)[off].all()
+
+
+def test_variants_of_one_original_are_one_group(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 1 << 16)  # several blocks
+    rng = random.Random(7)
+    original = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(original))]
+    for i in range(1, 2001):
+        w = list(original)
+        for j, at in enumerate(sorted(rng.sample(range(10, 190, 10), 3))):
+            w[at] = f"v{i}x{j}"
+        rows.append((i, " ".join(w)))
+    rng.shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
+    assert len(got) == 2001 and {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]
