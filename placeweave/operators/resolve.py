@@ -23,17 +23,13 @@ from placeweave.operators import gazetteer as G
 from placeweave.operators.matching import best_matches
 from placeweave.plans.stages import staged
 
-#: Tokens of an address beyond which it is not searched further.
-MAX_TOKENS = 64
-
-
 def prepare(df: DataFrame, address: str = "address", province_hint: str | None = None, district_hint: str | None = None, row_id: str = "row_id") -> DataFrame:
     """row_id, raw, norm, tokens (array<struct<i, t>>), seg, hp, hd, explicit (struct of districts and wards)."""
     hint = lambda c: T.normalize_hint(F.col(c)) if c else F.lit(None).cast("string")
     # Each piece between delimiters is finalised by itself, so a token's piece is known and none spans two.
     folded = T.fold_accents(T.expand_structural(T.nfc(F.coalesce(F.col(address), F.lit("")))))
     out = df.select(F.col(row_id).alias("row_id"), F.col(address).alias("raw"), folded.alias("folded"), hint(province_hint).alias("hp"), hint(district_hint).alias("hd"))
-    out = out.withColumn("words", F.slice(F.flatten(F.transform(N.delimiter_pieces(F.col("folded")), N.words)), 1, MAX_TOKENS)).withColumn("seg", N.segment_ids(F.col("folded")))
+    out = out.withColumn("words", F.flatten(F.transform(N.delimiter_pieces(F.col("folded")), N.words))).withColumn("seg", N.segment_ids(F.col("folded")))
     return out.select("row_id", "raw", F.array_join("words", " ").alias("norm"), N.indexed(F.col("words")).alias("tokens"), "seg", "hp", "hd", N.explicit_patterns(F.col("words")).alias("explicit"))
 
 

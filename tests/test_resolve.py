@@ -83,3 +83,9 @@ def test_beams(spark, gaz):
     df = spark.createDataFrame([(1, "dn ha noi ben tre ho chi minh quang tri ha tinh quang ninh ba dinh tay ho")], "row_id long, address string")
     got = R.candidates(staged(R.prepare(df), "rows"), gaz).collect()
     assert 0 < len(got) <= 5 and sorted(r.cand_rank for r in got) == list(range(1, len(got) + 1))
+
+
+def test_long_address_ends_in_its_province(spark, gaz):
+    text = " ".join(f"zq{i}" for i in range(80)) + ", dien bien, ba dinh, ha noi"
+    out = R.resolve(spark.createDataFrame([(1, text)], "row_id long, address string"), gaz).first()
+    assert (out.province, out.district, out.ward, out.status) == ("Tỉnh Ha Noi", "Quận Ba Dinh", "Phường Dien Bien", "success")
