@@ -80,3 +80,6 @@ def _accents() -> tuple[str, str]:
 
 
 ACCENTED, PLAIN = _accents()
+
+#: Names of four words, beyond the three of other n-grams.
+FOUR_WORDS = ("ba ria vung tau", "phan rang thap cham")

@@ -34,7 +34,10 @@ def prepare(df: DataFrame, address: str = "address", province_hint: str | None =
 
 
 def _exploded(df: DataFrame, items: str, keep: list[str], most: int = 3) -> DataFrame:
-    return df.select(*keep, F.explode(N.ngrams(F.col(items), most)).alias("g")).select(*keep, "g.*")
+    """n-grams of up to ``most`` words, and of four those with the words of a name in FOUR_WORDS."""
+    grams = df.select(*keep, F.explode(N.ngrams(F.col(items), max(most, 4))).alias("g")).select(*keep, "g.*")
+    four = F.array_join(F.array_sort(F.split("ngram", " ")), " ").isin(*(" ".join(sorted(x.split())) for x in K.FOUR_WORDS))
+    return grams.where((F.col("n") <= most) | ((F.col("n") == 4) & four))
 
 
 def _top(df: DataFrame, by: list[str], order: list[Column], k: int, ordinal: str) -> DataFrame:

@@ -89,3 +89,12 @@ def test_long_address_ends_in_its_province(spark, gaz):
     text = " ".join(f"zq{i}" for i in range(80)) + ", dien bien, ba dinh, ha noi"
     out = R.resolve(spark.createDataFrame([(1, text)], "row_id long, address string"), gaz).first()
     assert (out.province, out.district, out.ward, out.status) == ("Tỉnh Ha Noi", "Quận Ba Dinh", "Phường Dien Bien", "success")
+
+
+def test_names_of_four_words(spark):
+    names = [("ba ria vung tau", "con dao", "an hai"), ("ninh thuan", "phan rang thap cham", "my huong")]
+    rows = [(i, p, d, w, f"TỈNH {p.upper()}", f"QUẬN {d.upper()}", f"PHƯỜNG {w.upper()}", f"S{i}", f"C{i}") for i, (p, d, w) in enumerate(names)]
+    gaz = G.Gazetteer.of(spark.createDataFrame(rows, G.DIVISIONS), spark.createDataFrame([], G.ABBREVIATIONS), spark.createDataFrame([], G.MIGRATIONS))
+    df = spark.createDataFrame([(1, "so 12 zq ba ria vung tau"), (2, "so 7 zq phan rang thap cham ninh thuan")], "row_id long, address string")
+    out = {r.row_id: (r.province, r.district) for r in R.resolve(df, gaz).collect()}
+    assert out == {1: ("Tỉnh Ba Ria Vung Tau", ""), 2: ("Tỉnh Ninh Thuan", "Quận Phan Rang Thap Cham")}
