@@ -6,6 +6,11 @@ or after the end of its last one, which gives the leftmost non-overlapping match
 give. Hexadecimal runs have no keyword, so every four hex digits are one: a run of 24 cannot avoid them.
 
 Kinds with a checksum inside (tokens of two public registries, JSON web tokens, payment cards) only count if it holds.
+A JSON web token starts where its run of token characters does.
+
+The time is linear in the text: a match of a base kind moves that kind's start past itself, whether it counts or not;
+registry tokens and cards have bounded length; a run of token characters has one place where a JSON web token may start,
+so it is read three times at most (as head, body or signature).
 
 Null text counts as empty: no spans. Repeated rows each give their own row. Other columns are kept, except that columns
 named as this operator's results are replaced. Texts of any length are scanned whole.
@@ -50,7 +55,7 @@ PATTERNS = {
     "hex": re.compile(rb"[0-9a-f]+"),
     "forge": re.compile(rb"gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "registry": re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
-    "jwt": re.compile(rb"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*"),
+    "jwt": re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*+"),
     "card": re.compile(rb"card[a-z]{0,6}(?: (?:no|number))?[ .:=#]{0,3}([0-9](?:[ -]?[0-9]){12,18})(?![0-9])", re.IGNORECASE),
 }
 MIN_LENGTH = {"assign": 6, "access": 20, "hex": 24}

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from placeweave.llm import secrets
 
@@ -45,3 +46,13 @@ def test_frame(spark):
     docs = spark.createDataFrame([(1, "x token=abcdef12", 16)], "doc_id long, text string, n_chars long")
     assert [tuple(r) for r in secrets.redacted(docs).collect()] == [(1, "x [SECRET]", 10)]
     assert secrets.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_long_hostile_texts_take_linear_time():
+    n = 1 << 21
+    for piece in ("eyJ", "eyJ.", "eyJhbGciOiJIUzI1NiJ8.", "password ", "token = ", "AKIA", "card 4111", "ghp_", "deadbeef", "api_key'", "DEAD"):
+        text = piece * (n // len(piece))
+        began = time.process_time()
+        found = secrets.find_secrets(text)
+        assert time.process_time() - began < 12, piece
+        assert [tuple(s) for s in found if s.kind in secrets.BASE_KINDS] == brute(text)
