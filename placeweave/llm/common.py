@@ -16,9 +16,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where that is unset on one machine (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,13 +35,26 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """``saved``, after which every table that was saved before is deleted: for the end of a step whose tables no later step reads."""
+    old = [at for at in _made if at[0] is df.sparkSession]
+    out = saved(df, tag)
+    _delete(old)
+    return out
+
+
+def _delete(tables: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in tables:
         with contextlib.suppress(Exception):  # the JVM may be gone already
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove((spark, path))
+
+
+@atexit.register
+def _clean() -> None:
+    _delete(list(_made))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
