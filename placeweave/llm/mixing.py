@@ -7,11 +7,15 @@ sum meets it. The document at the boundary is taken for its first words only, so
 than a word.
 
 No source is sorted as a whole: keys fall into buckets in their order, the buckets' sums are added up, and only the one
-bucket that holds a source's boundary is sorted. A hot source thus costs one partial aggregation like any other.
+bucket that holds a source's boundary is sorted. Buckets are equal in the key's logarithm, BUCKETS to a doubling, so that
+whatever the weights are, one holds a share of about ln(2) / e / BUCKETS of its source at most (0.03 %). A hot source
+thus costs one partial aggregation like any other.
 
 Null text has size 0; null sources form one source, the last; null ids draw the key of an empty id. Weights that are null,
-not positive or not finite put a document last. Rows with equal keys go by id, then by a hash of the text; repeated rows
-count each for itself. An empty table gives an empty result. Columns of the input are kept, except those named as results.
+not positive or not finite put a document last, in the order of its draw. Rows with equal keys (those of one id) go by id,
+then by a hash of the text; repeated rows count each for itself. An empty table gives an empty result. Columns of the
+input are kept whatever their names, except that ``with_keys`` and ``mix`` replace those named as their results;
+``mixed`` keeps all.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placeweave.llm.common import joined_small
+from placeweave.llm.common import joined_small, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 CAP = 3
-BUCKETS = 16384
+#: Buckets for each doubling of the key.
+BUCKETS = 1024
 SOURCE_WEIGHTS = (1, 2, 3)
 
 
@@ -42,7 +47,13 @@ def sample_key(doc_id: Column, weight: Column) -> Column:
     """-ln(u) / weight with u in (0, 1) from 52 bits of the id's MD5."""
     bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10).cast("long")
     u = (bits + F.lit(0.5)) / F.lit(float(1 << 52))
-    return F.when((weight > 0) & (weight < float("inf")), -F.log(u) / weight).otherwise(F.lit(float("inf")))
+    usable = (weight > 0) & (weight < float("inf"))
+    return F.when(usable, -F.log(u) / F.greatest(weight, F.lit(1e-200))).otherwise(-F.log(u) * 1e260)
+
+
+def bucket_of(key: Column) -> Column:
+    """Numbers that grow with the key."""
+    return F.floor(F.log2(key) * BUCKETS).cast("int")
 
 
 def source_targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] = SOURCE_WEIGHTS) -> DataFrame:
@@ -65,7 +76,7 @@ def source_targets(sizes: DataFrame, cap: int = CAP, weights: tuple[int, ...] =
 
 
 def with_keys(df: DataFrame, text: str = "text", doc_id: str = "doc_id", weight: Column | None = None) -> DataFrame:
-    """Adds size, sample_key and tie, which ``mix`` needs."""
+    """Adds size, sample_key and tie, which ``mix`` needs; columns of these names are replaced."""
     weight = letter_share(F.col(text)) if weight is None else weight
     return df.withColumns({"size": word_count(F.col(text)), "sample_key": sample_key(F.col(doc_id), weight), "tie": F.xxhash64(text)})
 
@@ -73,24 +84,26 @@ def with_keys(df: DataFrame, text: str = "text", doc_id: str = "doc_id", weight:
 def mix(keyed: DataFrame, doc_id: str = "doc_id", cap: int = CAP, weights: tuple[int, ...] = SOURCE_WEIGHTS) -> DataFrame:
     """``keyed`` (from ``with_keys``; read twice) with source_size, target, epochs (complete ones) and taken (words)."""
     keyed = keyed.drop("source_size", "target", "epochs", "taken")
-    names = keyed.columns
-    bucket = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("sample_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    rows = keyed.withColumn("bucket__", bucket)
-    sums = rows.groupBy("source", "bucket__").agg(F.sum("size").alias("words"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in keyed.columns)).alias("row")
+    # From here to the last line, the input's columns travel in one, so that none can clash with a helper.
+    rows = keyed.select(whole, "source", "size", "sample_key", "tie", F.col(doc_id).alias("id"), bucket_of(F.col("sample_key")).alias("bucket"))
+    sums = saved(rows.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "sums")
     sources = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), cap, weights)
     has = F.col("source_size") > 0
     sources = sources.withColumn("epochs", F.when(has, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0).cast("long"))
     sources = sources.withColumn("rest", F.when(has, F.round(F.col("target") - F.col("epochs") * F.col("source_size"))).otherwise(0).cast("long"))
-    prefix = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket__")) - F.col("words"))
-    edge = prefix.alias("p").join(sources.alias("s"), F.expr("p.source <=> s.source")).where("before <= rest and rest < before + words")
-    edge = edge.select(F.col("p.source").alias("s__"), F.col("bucket__").alias("edge"), "before")
-    known = sources.join(edge, F.expr("source <=> s__"), "left").select(F.col("source").alias("s__"), "source_size", "target", "epochs", "rest", F.coalesce("edge", F.lit(BUCKETS)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"))
-    all_rows = joined_small(rows, known, F.expr("source <=> s__"), "left")
-    done = all_rows.where("bucket__ <> edge").withColumn("extra", F.when(F.col("bucket__") < F.col("edge"), F.col("size")).otherwise(0).cast("long"))
-    order = Window.partitionBy("source").orderBy("sample_key", F.col(doc_id).asc_nulls_first(), "tie", "size")
+    sources = saved(sources.withColumnRenamed("source", "s"), "sources")
+    prefix = sums.withColumn("before", F.sum("words").over(Window.partitionBy("source").orderBy("bucket")) - F.col("words"))
+    edge = joined_small(prefix, sources, F.expr("source <=> s"), "inner").where("before <= rest and rest < before + words")
+    edge = edge.select(F.col("source").alias("edge_source"), F.col("bucket").alias("edge"), "before")
+    known = joined_small(sources, edge, F.expr("s <=> edge_source")).select("s", "source_size", "target", "epochs", "rest", "edge", F.coalesce("before", F.lit(0)).alias("before"))
+    met = joined_small(rows, saved(known, "known"), F.expr("source <=> s"))
+    full = F.when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge")), F.col("size")).otherwise(0).cast("long")
+    done = met.where("edge is null or bucket <> edge").withColumn("extra", full)
+    order = Window.partitionBy("source").orderBy("sample_key", F.col("id").asc_nulls_first(), "tie", "size")
     start = F.col("before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    sorted_rows = all_rows.where("bucket__ = edge").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start)).cast("long"))
-    return done.unionByName(sorted_rows).select(*names, "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"))
+    at_edge = met.where("bucket = edge").withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start)).cast("long"))
+    return done.unionByName(at_edge).select("row.*", "source_size", "target", "epochs", (F.col("epochs") * F.col("size") + F.col("extra")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -98,16 +111,24 @@ def mixed(docs: DataFrame) -> DataFrame:
 
     A document of which the mix takes nothing goes; so does one without words.
     """
-    names = docs.columns
-    rows = mix(with_keys(docs))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = mix(saved(with_keys(docs.select(whole, "doc_id", "text", "source")).drop("text"), "keyed"))
     extra = F.col("taken") - F.col("epochs") * F.col("size")
     copies = F.when(F.col("size") > 0, F.sequence(F.lit(1), F.col("epochs").cast("int") + F.when(extra > 0, 1).otherwise(0))).otherwise(F.array().cast("array<int>"))
     copies = F.when(F.col("taken") > 0, copies).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("copy__", F.explode(copies))
-    cut = (F.col("copy__") > F.col("epochs")) & (extra < F.col("size"))
-    text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, extra.cast("int")), " ")).otherwise(F.col("text"))
-    rows = rows.withColumn("text", text)
-    return rows.select(*(F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names))
+    rows = rows.withColumn("copy", F.explode(copies))
+    cut = (F.col("copy") > F.col("epochs")) & (extra < F.col("size"))
+    first = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), 1, extra.cast("int")), " ")
+    rows = rows.select("doc", F.when(cut, first).otherwise(F.col("doc.text")).alias("text"))
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("text")
+        if name == "n_chars":
+            return F.length("text").cast(docs.schema[name].dataType).alias(name)
+        return F.col(f"doc.`{name}`").alias(name)
+
+    return rows.select(*map(column, docs.columns))
 
 
 ORACLE = r"""

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from placeweave.llm import mixing
 
@@ -55,3 +56,29 @@ def test_mixed_rows(spark):
     got = mixing.mixed(df).collect()
     assert all(r.n_chars == len(r.text) for r in got) and {r.doc_id for r in got} <= {1, 2}
     assert sum(len(r.text.split()) for r in got if r.doc_id == 1) == 2 and sum(len(r.text.split()) for r in got if r.doc_id == 2) == 4
+
+
+def test_clashing_names(spark):
+    names = ["size", "rest", "edge", "before", "tie", "bucket", "row", "s", "words", "sample_key", "extra", "copy", "doc", "taken", "target"]
+    rows = [(i, "w " * (i % 7), "ab"[i % 2], *[99] * len(names)) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in names))
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and {tuple(r)[3:] for r in out.collect()} == {(99,) * len(names)}
+    plain = mixing.mixed(df.select("doc_id", "text", "source")).collect()
+    assert sorted((r.doc_id, r.text) for r in plain) == sorted((r.doc_id, r.text) for r in out.collect())
+    kept = mixing.mix(mixing.with_keys(df)).collect()
+    assert all((r.rest, r.edge, r.before, r.bucket, r.row, r.s, r.words) == (99,) * 7 for r in kept)
+
+
+def test_no_bucket_is_large(spark):
+    """Whatever the weights are, what one task sorts is a small share of a source."""
+    n = 200_000
+    for weight in (F.lit(1.0), F.lit(0.14), F.lit(0.05), F.lit(None).cast("double"), F.lit(float("inf")), F.lit(-1.0), F.lit(1e-30), F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.05)):
+        most = spark.range(n).select(mixing.bucket_of(mixing.sample_key(F.col("id"), weight)).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
+        assert most < n / 2000
+
+
+def test_weights_order_the_useless_last(spark):
+    rows = [(i, float(w) if w is not None else None) for i, w in enumerate([None, 0, -1, float("inf"), float("nan"), 1e-9, 0.5, 1])]
+    got = spark.createDataFrame(rows, "doc_id long, w double").select("doc_id", mixing.sample_key(F.col("doc_id"), F.col("w")).alias("k")).orderBy("k").collect()
+    assert {r.doc_id for r in got[:3]} == {5, 6, 7}
