@@ -84,3 +84,46 @@ def test_variants_of_one_original_are_one_group(spark, monkeypatch):
     rng.shuffle(rows)
     got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
     assert len(got) == 2001 and {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]
+
+
+def edge_pairs(spark, rows, ranges, monkeypatch):
+    classes = spark.createDataFrame(rows, "cid long, n long, sig binary")
+    with monkeypatch.context() as m:
+        m.setattr(near_dedup, "TREES", 1)
+        kept = type(classes).repartitionByRange
+        m.setattr(type(classes), "repartitionByRange", lambda df, *cols: kept(df, ranges, *cols))
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            return {(r.l, r.r) for r in near_dedup.candidates(classes, 85).collect()}
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_short_ranges_lose_no_neighbours(spark, monkeypatch):
+    rows = [(i, 100, b"same" * 5 + i.to_bytes(4, "big")) for i in range(24)]
+    whole = edge_pairs(spark, rows, 1, monkeypatch)
+    assert whole >= {(j, i) for i in range(24) for j in range(max(0, i - near_dedup.REACH), i)}
+    for ranges in (3, 8, 12, 24):
+        assert {(j, i) for j, i in whole if i - j <= near_dedup.REACH} <= edge_pairs(spark, rows, ranges, monkeypatch)
+
+
+def test_template_documents(spark):
+    """Documents of one template, each some edits from it, and a partner for every other one: no link is lost."""
+    rng = random.Random(11)
+    template, rows = [f"t{i}" for i in range(400)], []
+
+    def edited(words, n, tag):
+        words = list(words)
+        for j, at in enumerate(rng.sample(range(len(words)), n)):
+            words[at] = f"{tag}x{j}"
+        return words
+
+    for i in range(120):
+        own = edited(template, 9, f"d{i}")
+        rows.append((2 * i, " ".join(own)))
+        if i % 2:
+            rows.append((2 * i + 1, " ".join(edited(own, rng.choice([3, 5, 6]), f"p{i}"))))
+    want = near_components(rows, 85)
+    assert 50 < sum(root != i for i, (_, root) in want.items()) < len(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(24)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
