@@ -46,7 +46,7 @@ ORACLE_SQL["op4_source_mix"] = mixing.ORACLE
 
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), special=True)
 
 
 @query("op8_byte_shards")
@@ -80,8 +80,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_edit_aware_token_counts")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    edited = docs.withColumn("edits", token_counts.sample_edits(F.col("doc_id"), F.col("text")))
-    return token_counts.count_tokens(edited, public_tokenizers.path("byte_bpe_50k.json")).drop("text", "edits")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    trees = saved(token_counts.build_trees(docs, path), "trees")
+    edited = trees.withColumn("edits", token_counts.sample_edits(F.col("doc_id"), F.col("text")))
+    return token_counts.apply_edits(edited, path).select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "edited_crc32", "recoded_chars")
 
 
 ORACLE_SQL["op9_repeated_passages"] = repeats.ORACLE

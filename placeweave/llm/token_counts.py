@@ -1,39 +1,50 @@
-"""Token counts that follow edits: a segment tree of pre-token runs per document.
+"""Token counts that follow edits: a stored segment tree of pre-token runs per document.
 
-A text is cut into leaves at places that are pre-token boundaries whatever surrounds them: a single space between two
-letters or digits. Leaves therefore encode on their own, and a document's count is the sum over its leaves, kept in a
-binary tree of characters and tokens. An edit re-encodes the leaves it touches, with those beside it whose boundary lies
-within one character of it, and updates the sums on their paths to the root; all other leaves keep their counts.
+A text is cut into leaves at places that are pre-token boundaries whatever surrounds them: after a letter or digit, before
+white space, between letters and digits, and, in the scripts of BEFORE_MARK, before punctuation; so texts without spaces
+have leaves as well. Leaves encode on their own, and a document's count is the sum over its leaves.
+
+``build_trees`` encodes every text once and keeps its leaves' lengths and token counts in a column; the sums above them
+follow from these without encoding. ``apply_edits`` reads that column: an edit finds its leaves by descending the sums,
+re-encodes those it touches, with those beside them whose boundary lies within a character of it, and updates the sums on
+their paths to the root. What the leaves gain or lose stays in them (a leaf may grow to GROWTH times its size, or become
+empty); only a leaf that outgrows that splits, which rebuilds the sums. A run of letters without any boundary is one
+pre-token, whose merges may change anywhere, and so one leaf.
 
 Null texts count as empty: no tokens. Edits beyond the text's ends are clipped to it; null edits are none, null inserts
 are empty. Edits apply one after another, each to what the last one left. Repeated rows each give their own row; columns
-named as the results are replaced, others kept. An empty table gives an empty result.
+named as the results (and ``token_tree``) are replaced, others kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.llm.common import slices
 from placeweave.llm.packing import encoding
 
-LEAF = 512
-SAFE = re.compile(r"[^\W_] [^\W_]")
+LEAF, GROWTH = 512, 4
+#: Letters and digits (ASCII, Cyrillic, kana, Han, Hangul; Thai consonants) and what is no letter after them.
+BEFORE_MARK = (
+    (r"A-Za-z0-9\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3", r"!-&(-/:-@\[-`{-~\u3001\u3002\u300c\u300d\uff01\uff0c\uff1a\uff1b\uff1f"),
+    (r"\u0e01-\u0e2e", r"\u0e31\u0e34-\u0e3a\u0e47-\u0e4e"),
+)
+SAFE = regex.compile("|".join([r"(?<=[\p{L}\p{N}])(?=[ \t\r\n])", r"(?<=[0-9])(?=\p{L})", r"(?<=\p{L})(?=[0-9])", *(f"(?<=[{a}])(?=[{b}])" for a, b in BEFORE_MARK)]))
 
 
 def leaves_of(text: str) -> list[str]:
     """The text cut at the first safe place after every LEAF characters."""
     out, at = [], 0
-    while len(text) - at > LEAF and (found := SAFE.search(text, at + LEAF - 1)):
-        out.append(text[at : found.start() + 1])
-        at = found.start() + 1
+    while len(text) - at > LEAF and (found := SAFE.search(text, at + LEAF)) and found.start() < len(text):
+        out.append(text[at : found.start()])
+        at = found.start()
     out.append(text[at:])
     return out
 
@@ -41,15 +52,27 @@ def leaves_of(text: str) -> list[str]:
 class TokenTree:
     """Leaves and, per level of a binary tree over them, sums of characters and tokens."""
 
-    def __init__(self, text: str, count: Callable[[str], int]):
+    def __init__(self, text: str, count: Callable[[str], int], stored: tuple[list[int], list[int]] | None = None):
+        """The tree of a text; from the ``stored`` lengths and token counts of its leaves, if they are given, without encoding."""
         self.count, self.encoded = count, 0
-        self.leaves = leaves_of(text)
-        self._build([self._encode(x) for x in self.leaves])
+        if stored:
+            ends = np.cumsum(stored[0]).tolist()
+            self.leaves = [text[e - n : e] for e, n in zip(ends, stored[0], strict=True)]
+            self._build(stored[1])
+        else:
+            self.leaves = leaves_of(text)
+            self._build([self._encode(x) for x in self.leaves])
 
     def _encode(self, leaf: str) -> int:
         self.encoded += len(leaf)
         return self.count(leaf)
 
+    def stored(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and token counts of the leaves."""
+        size = len(self.sums) // 2
+        own = self.sums[size : size + len(self.leaves)]
+        return own[:, 0], own[:, 1]
+
     def _build(self, tokens: list[int]) -> None:
         size = 1 << max(0, len(self.leaves) - 1).bit_length()
         self.sums = np.zeros((2 * size, 2), np.int64)
@@ -92,8 +115,12 @@ class TokenTree:
         region = "".join(self.leaves[i : j + 1])
         fresh = leaves_of(region[: start - first] + insert + region[stop - first :])
         counts = [self._encode(x) for x in fresh]
-        size = len(self.sums) // 2
-        if len(fresh) == j + 1 - i:
+        size, room = len(self.sums) // 2, j + 1 - i
+        while len(fresh) > room and len(fresh[-1]) + len(fresh[-2]) <= GROWTH * LEAF:  # safe places: counts add up
+            fresh[-2:], counts[-2:] = ["".join(fresh[-2:])], [sum(counts[-2:])]
+        if len(fresh) <= room:
+            fresh += [""] * (room - len(fresh))
+            counts += [0] * (room - len(counts))
             self.leaves[i : j + 1] = fresh
             for k, (leaf, tokens) in enumerate(zip(fresh, counts, strict=True), size + i):
                 change = np.array([len(leaf), tokens]) - self.sums[k]
@@ -106,33 +133,66 @@ class TokenTree:
             self._build(counts)
 
 
+TREE, TREE_DDL = "token_tree", "struct<chars:array<int>,tokens:array<int>>"
+TREE_TYPE = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
 RESULT = "n_tokens long, n_edits int, n_tokens_edited long, edited_crc32 long, recoded_chars long"
 
 
-def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", edits: str = "edits") -> DataFrame:
-    """Adds the token count before and after ``edits`` (array of start, stop, insert; code points), the edited text's CRC-32
-    and how many characters were encoded anew for the edits."""
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _tree_column(trees: list[TokenTree]) -> pa.Array:
+    kept = [t.stored() for t in trees]
+    return pa.array([{"chars": chars, "tokens": tokens} for chars, tokens in kept], TREE_TYPE)
+
+
+def build_trees(df: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
+    """Adds ``token_tree``: the lengths and token counts of each text's leaves. The one step that encodes whole texts."""
+    df = df.drop(TREE)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoding(tokenizer_path).encode_ordinary
+        for batch in slices(batches):
+            trees = [TokenTree(value or "", lambda s: len(encode(s))) for value in batch.column(names.index(text)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _tree_column(trees)], names=[*names, TREE])
+
+    return df.mapInArrow(run, f"{_fields(df)}, {TREE} {TREE_DDL}")
+
+
+def apply_edits(trees: DataFrame, tokenizer_path: str, text: str = "text", edits: str = "edits", keep: bool = True) -> DataFrame:
+    """Applies ``edits`` (array of start, stop, insert; code points) to texts with their ``token_tree``; these become those of
+    the edited text, so that a second call goes on from there (unless ``keep`` is false: then both stay as they were).
+    Adds the token counts before and after, the edited text's CRC-32 and how many characters were encoded.
+    """
     added = [x.split() for x in RESULT.split(", ")]
-    df = df.drop(*(c for c, _ in added if c not in (text, edits)))
+    df = trees.drop(*(c for c, _ in added if c not in (text, edits)))
     names = df.columns
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [RESULT])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(tokenizer_path).encode_ordinary
         for batch in slices(batches):
-            rows = []
-            for value, changes in zip(batch.column(names.index(text)).to_pylist(), batch.column(names.index(edits)).to_pylist(), strict=True):
-                tree = TokenTree(value or "", lambda s: len(encode(s)))
-                before, base = tree.tokens, tree.encoded
-                changes = [c for c in changes or () if c is not None]
+            rows, done = [], []
+            for value, changes, tree in zip(*(batch.column(names.index(c)).to_pylist() for c in (text, edits, TREE)), strict=True):
+                own = TokenTree(value or "", lambda s: len(encode(s)), (tree["chars"], tree["tokens"]))
+                before, changes = own.tokens, [c for c in changes or () if c is not None]
                 for c in changes:
                     start = c["start"] or 0
-                    tree.edit(start, start if c["stop"] is None else c["stop"], c["insert"] or "")
-                rows.append((before, len(changes), tree.tokens, zlib.crc32(tree.text.encode("utf-8", "surrogatepass")), tree.encoded - base))
+                    own.edit(start, start if c["stop"] is None else c["stop"], c["insert"] or "")
+                whole = own.text
+                rows.append((before, len(changes), own.tokens, zlib.crc32(whole.encode("utf-8", "surrogatepass")), own.encoded))
+                done.append((whole if changes else value, own))
             kinds = [pa.int32() if t == "int" else pa.int64() for _, t in added]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=[*names, *(c for c, _ in added)])
+            new = {} if not keep else {text: pa.array([x for x, _ in done], batch.column(names.index(text)).type), TREE: _tree_column([t for _, t in done])}
+            yield pa.RecordBatch.from_arrays([*(new.get(c, batch.column(c)) for c in names), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], names=[*names, *(c for c, _ in added)])
+
+    return df.mapInArrow(run, f"{_fields(df)}, {RESULT}")
 
-    return df.mapInArrow(run, schema)
+
+def count_tokens(df: DataFrame, tokenizer_path: str, text: str = "text", edits: str = "edits") -> DataFrame:
+    """``build_trees`` and ``apply_edits`` in one pass, for texts that are counted once: no tree is kept, the text stays."""
+    return apply_edits(build_trees(df, tokenizer_path, text), tokenizer_path, text, edits, keep=False).drop(TREE)
 
 
 #: The query's edits: what each puts in, and how many characters it takes out.

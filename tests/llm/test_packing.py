@@ -35,7 +35,7 @@ def test_pack(spark, monkeypatch, chunk):
     assert packing.pack(df.limit(0), PATH).count() == 0
 
 
-def test_best_fit_and_what_goes_up():
+def test_best_fit():
     rng = np.random.default_rng(1)
     sizes = rng.integers(1, 1025, 5000)
     where, at, fills = packing.best_fit(sizes)
@@ -44,5 +44,51 @@ def test_best_fit_and_what_goes_up():
         own = np.flatnonzero(where == b)
         own = own[np.argsort(at[own])]
         assert list(at[own]) == [0, *np.cumsum(sizes[own])[:-1]]
-    up = packing.sent_up(np.full(100_000, 600))
-    assert up.sum() == packing.PER_FILL and packing.sent_up(np.array([1024, 1023, 5])).tolist() == [False, False, True]
+
+
+def test_layout_places_every_rank_once():
+    rng = np.random.default_rng(2)
+    for sizes in (rng.integers(1, 1025, 4000), rng.integers(1, 9, 5000), np.full(3000, 400), np.array([1024, 1, 1]), rng.geometric(0.01, 3000).clip(1, 1024)):
+        values, n = np.unique(sizes, return_counts=True)
+        where, bins = packing.layout(dict(zip(values.tolist(), n.tolist(), strict=True)))
+        held = {}
+        for size, ranges in where.items():
+            assert [a for a, *_ in ranges] == [0, *(b for _, b, *_ in ranges)][:-1] and ranges[-1][1] == n[values == size][0]
+            for a, b, first, offset in ranges:
+                for i in range(b - a):
+                    held.setdefault(first + i, []).append((offset, size))
+        assert sorted(held) == list(range(bins))
+        for items in held.values():
+            items.sort()
+            assert [o for o, _ in items] == [0, *np.cumsum([s for _, s in items])[:-1]] and sum(s for _, s in items) <= 1024
+        assert bins <= len(packing.best_fit(sizes)[2]) * 1.01 + 1  # as good as piece by piece
+
+
+def test_as_few_sequences_for_any_number_of_tasks(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    found = [packing.pack(docs.repartition(n, "doc_id"), PATH).toPandas() for n in (1, 16, 60)]
+    bound = -(-found[0].length.sum() // 1024)
+    for got in found:
+        assert got.sequence_id.nunique() <= bound * 1.005 + 1
+        for _, own in got.sort_values("offset").groupby("sequence_id"):
+            assert list(own.offset) == [0, *own.length.cumsum()[:-1]] and own.length.sum() <= 1024
+
+
+def test_ids_equal_those_of_the_library_as_it_is():
+    """No setting touched: the added token's text becomes that token."""
+    library, own = tokenizers.Tokenizer.from_file(PATH), packing.encoder(PATH, special=True)
+    scripts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext", "日本語のテキスト。", "ภาษาไทย", "\x00\x01\x7f\r\n\t \x85", "e\u0301 \u200d", "aaaa" * 400, "0123456789" * 90, "!?" * 500, "it's 'll  we've\n\n x", "\U0001f600 \U0001f468\u200d\U0001f469"]
+    for text in scripts:
+        assert own(text) == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_merges_out_of_order_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(PATH, encoding="utf-8"))
+    spec["model"]["merges"][:2] = spec["model"]["merges"][1::-1]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec), encoding="utf-8")
+    with pytest.raises(ValueError, match="order"):
+        packing.encoding(str(other))
+    packing.encoding.cache_clear()
