@@ -36,3 +36,29 @@ def test_shards(spark, monkeypatch):
     assert all(sorted(x) == list(range(len(x))) for x in count.values()) and len(load) == 6
     assert max(load.values()) - min(load.values()) <= 0.02 * max(load.values())
     assert sharding.shard_documents(df.limit(0), 6).count() == 0
+
+
+def plain_differencing(sizes, k):
+    """Karmarkar-Karp with lists of items: the two partial partitions of largest spread, oppositely ordered, until one is left."""
+    parts = [(i, sorted([[s, [i]]] + [[0, []] for _ in range(k - 1)], key=lambda x: -x[0])) for i, s in enumerate(sizes)]
+    made = len(parts)
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-(p[1][0][0] - p[1][-1][0]), p[0]))
+        (_, a), (_, b), *parts = parts
+        both = [[x + y, own + other] for (x, own), (y, other) in zip(a, b[::-1], strict=True)]
+        parts.append((made, sorted(both, key=lambda x: -x[0])))
+        made += 1
+    return parts[0][1]
+
+
+def test_equals_plain_differencing():
+    rng = np.random.default_rng(6)
+    for n, k in ((5, 2), (30, 4), (200, 24), (64, 3), (10, 24)):
+        sizes = rng.integers(1, 5000, n)
+        parts = np.zeros((n, k), np.int64)
+        parts[:, 0] = sizes
+        to = sharding.differencing(parts)[:, 0]
+        got = np.bincount(to, weights=sizes, minlength=k).astype(int)
+        want = plain_differencing(sizes.tolist(), k)
+        assert sorted(got) == sorted(x for x, _ in want)
+        assert sorted(sorted(np.flatnonzero(to == s).tolist()) for s in range(k)) == sorted(sorted(own) for _, own in want)
