@@ -4,15 +4,18 @@ A compressed FM-index per shard does the matching, and sharding by content keeps
 
 1. Each window's minimizer is the smallest hash of its five-word runs. Consecutive windows of one minimizer form a span;
    equal windows have equal minimizers, and every window lies in exactly one span. Only minimizers that occur twice go on.
-2. Spans of equal content (minimizer and a second 64-bit hash) are one; its first occurrence stands for them, and all
-   windows of its other occurrences are repeats.
-3. Spans of one minimizer but different contents may still share windows. Their words are gathered in shards by
-   minimizer; each shard is indexed, the spans stream through it by backward search, and the interval of each match of
-   WINDOW words tells its earliest occurrence.
-4. A minimizer with more than HOT contents would fill a shard: its spans are cut into single windows, which meet in an
-   aggregation by their words instead. This is exact as well, whatever its size.
-
-Shuffled are span records (five numbers), words only for the spans of step 3.
+2. Spans of equal content (minimizer and a second 64-bit hash) differ in nothing but where they stand, so they travel as
+   one, with the place of the first.
+3. All contents of a minimizer that occurs twice are gathered, with their words, in shards by minimizer. Each shard is
+   indexed, its contents stream through the index by backward search, and the matching statistics decide: a window whose
+   match is WINDOW words long has an interval of occurrences; the earliest of these says whether the content's first
+   occurrence repeats something there. Its later occurrences repeat every window that has an interval, as the first one
+   is in it. What has no interval is not removed.
+4. A minimizer with more than HOT contents would fill a shard, and streaming them through several would grow with the
+   square of their number: its contents are cut into single windows, which meet in an aggregation by their words instead.
+   This is exact as well, whatever its size.
+
+Shuffled are span records (five numbers), words only for the contents of step 3, once each.
 
 Windows are compared as of the input. Null texts have no words. Null ids come before all others. Rows that share an id
 have windows that start at the same places of the same document, so neither comes earlier for that; each such row is
@@ -91,7 +94,10 @@ def _words_of(text: str | None) -> list[bytes]:
 
 
 def repeated_windows(shard: pd.DataFrame) -> pd.DataFrame:
-    """(h, ch, mask) of a shard's contents (h, ch, doc, start, n, content): bit k says that window k starts earlier elsewhere."""
+    """(h, ch, mask, found) of a shard's contents (h, ch, doc, start, n, content) by the index's intervals.
+
+    Bit k of ``found`` says that window k was found in the index, bit k of ``mask`` that it starts earlier elsewhere.
+    """
     shard = shard.sort_values(["doc", "start"], ignore_index=True)
     docs = [c.split(" ") for c in shard["content"]]
     lengths = np.array([len(d) for d in docs])
@@ -101,7 +107,7 @@ def repeated_windows(shard: pd.DataFrame) -> pd.DataFrame:
     text = np.zeros(bounds[-1] + len(docs), np.int64)
     text[np.arange(bounds[-1]) + np.repeat(own, lengths)] = codes
     index = FMIndex(text, WINDOW)
-    masks = np.zeros(len(docs), np.int64)
+    masks, hits = np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64)
     row_of = np.repeat(own, lengths + 1)
     begin = bounds[:-1] + own
     stats = matching_statistics(index, [codes[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
@@ -120,8 +126,8 @@ def repeated_windows(shard: pd.DataFrame) -> pd.DataFrame:
     place = start[there] + earliest - begin[there]
     repeat = (doc[there] < doc[row]) | (doc[there] == doc[row]) & (place < start[row] + k)
     np.bitwise_or.at(masks, row[repeat], 1 << k[repeat])
-    out = shard[["h", "ch"]].assign(mask=masks.astype(np.int32))
-    return out[out["mask"] != 0]
+    np.bitwise_or.at(hits, row, 1 << k)
+    return shard[["h", "ch"]].assign(mask=masks.astype(np.int32), found=hits.astype(np.int32))
 
 
 def _bounded(df: DataFrame, blob: str, limit: int = 32 << 20) -> DataFrame:
@@ -141,12 +147,11 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     doc = F.coalesce("doc_id", F.lit(FIRST_ID))
     shared_ids = docs.groupBy(doc.alias("d")).count().where("count > 1").limit(1).count() > 0
     keyed = docs.select(doc.alias("doc"), (F.xxhash64("text") if shared_ids else F.lit(0).cast("long")).alias("th"), "text", "doc_id")
-    found = keyed.select("doc", "th", "text").mapInArrow(_spans, SPAN)
+    found = saved(keyed.select("doc", "th", "text").mapInArrow(_spans, SPAN), "found")
     twice = saved(found.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "minimizers")
     again = saved(found.join(twice, "h", "left_semi").select("doc", "th", "start", "n", "h", "ch"), "spans")
     kinds = saved(again.groupBy("h", "ch").agg(F.min(F.struct("doc", "start", "th", "n")).alias("f"), F.count("*").alias("c")), "contents")
-    mixed = kinds.groupBy("h").agg(F.count("*").alias("contents")).where("contents > 1")
-    wanted = kinds.join(mixed, "h").select("h", "ch", "contents", "f.doc", "f.start", "f.th", "f.n")
+    wanted = kinds.join(kinds.groupBy("h").agg(F.count("*").alias("contents")), "h").select("h", "ch", "contents", "f.doc", "f.start", "f.th", "f.n")
     lists = saved(_packed(wanted, ["h", "ch", "start", "n", "contents"], "want"), "wanted")
     source = keyed.select("doc", "th", "text").join(lists, ["doc", "th"])
 
@@ -164,15 +169,15 @@ def dedup_substrings(docs: DataFrame, with_text: bool = False) -> DataFrame:
     contents = saved(source.select("doc", "text", "want").mapInArrow(cut, "h long, ch long, contents long, doc long, start int, n int, content string").dropDuplicates(["h", "ch"]), "texts")
     usual = contents.where(F.col("contents") <= HOT)
     shards = max(1, usual.count() // SHARD)
-    masks = usual.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInPandas(repeated_windows, "h long, ch long, mask int")
+    masks = usual.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards))).groupBy("shard").applyInPandas(repeated_windows, "h long, ch long, mask int, found int")
     single = contents.where(F.col("contents") > HOT).select("h", "ch", "doc", "start", F.posexplode(F.expr(f"transform(sequence(0, n - 1), k -> array_join(slice(split(content, ' '), k + 1, {WINDOW}), ' '))")).alias("k", "w"))
     single = single.select("h", "ch", "k", "w", F.struct("doc", (F.col("start") + F.col("k")).alias("at")).alias("p"))
-    later = single.join(single.groupBy("w").agg(F.min("p").alias("least")), "w").where("least < p").groupBy("h", "ch").agg(F.sum(F.expr("shiftleft(1, k)")).cast("int").alias("mask"))
+    bit = F.expr("shiftleft(1, k)")
+    later = single.join(single.groupBy("w").agg(F.min("p").alias("least")), "w").groupBy("h", "ch").agg(F.sum(F.when(F.col("least") < F.col("p"), bit).otherwise(0)).cast("int").alias("mask"), F.sum(bit).cast("int").alias("found"))
     masks = saved(masks.union(later), "masks")
-    known = kinds.join(masks, ["h", "ch"], "left").where("c > 1 or mask is not null").select("h", "ch", F.col("f.doc").alias("fd"), F.col("f.start").alias("fs"), F.coalesce("mask", F.lit(0)).alias("mask"))
+    known = kinds.join(masks, ["h", "ch"]).where("c > 1 or mask <> 0").select("h", "ch", F.col("f.doc").alias("fd"), F.col("f.start").alias("fs"), "mask", "found")
     known = saved(known, "known")  # both sides of the join below are then plain shuffles, which can be split where a span is common
-    all_bits = F.expr("shiftleft(1, n) - 1")
-    bits = F.when((F.col("doc") == F.col("fd")) & (F.col("start") == F.col("fs")), F.col("mask")).otherwise(all_bits)
+    bits = F.when((F.col("doc") == F.col("fd")) & (F.col("start") == F.col("fs")), F.col("mask")).otherwise(F.col("found"))
     marks = again.join(known, ["h", "ch"]).select("doc", "th", "start", bits.alias("mask")).where("mask <> 0").distinct()
     grouped = marks.groupBy("doc", "th").agg(F.sort_array(F.collect_list(F.struct("start", "mask"))).alias("marks"))
 

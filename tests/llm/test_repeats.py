@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from brute import repeated_windows
 
@@ -60,3 +61,22 @@ def test_fm_index_finds_every_occurrence():
                 want = [i for i in range(len(text) - depth + 1) if (text[i : i + depth] == d[p : p + depth]).all()]
                 assert (length[p] == depth) == bool(want)
                 assert not want or sorted(index.suffixes[low[p] : high[p]]) == want
+
+
+def test_nothing_is_removed_without_an_interval(monkeypatch):
+    """The index judges: where it reports no match, no word goes, copies included."""
+    real = fm_index.matching_statistics
+
+    def none(index, docs):
+        return [(low, high, 0 * length) for low, high, length in real(index, docs)]
+
+    monkeypatch.setattr(repeats, "matching_statistics", none)
+    got = repeats.repeated_windows(shard_of(["a b c d e f g h i j k l m n o p q r s t u", "x a b c d e f g h i j k l m n o p q r s t"]))
+    assert got["mask"].tolist() == [0, 0] and got["found"].tolist() == [0, 0]
+    monkeypatch.setattr(repeats, "matching_statistics", real)
+    got = repeats.repeated_windows(shard_of(["a b c d e f g h i j k l m n o p q r s t u", "x a b c d e f g h i j k l m n o p q r s t"]))
+    assert got["mask"].tolist() == [0, 2] and got["found"].tolist() == [3, 3]
+
+
+def shard_of(contents):
+    return pd.DataFrame([(1, i, i, 0, len(c.split()) - 19, c) for i, c in enumerate(contents)], columns=["h", "ch", "doc", "start", "n", "content"])
