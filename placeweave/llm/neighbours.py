@@ -5,9 +5,16 @@ learns which parts a vector's neighbours lie in. It then indexes every vector in
 to its several likeliest parts, as many as the sample's brute force says are needed for the wanted recall and at least so
 many as hold enough vectors. There, all vectors are ranked by the exact inner product.
 
+The number of parts grows with the table: a part of more than SPLIT * PER_PART vectors is cut again, by a graph and a
+classifier of its own, learnt from a sample of it in a task, and so on down; the queries that come to it are routed on by
+that classifier. So a part stays of bounded size, and what is shuffled for a query does not depend on the table, but for
+the parts it has to see. With at least MIN_SAMPLE distinct vectors there are FEW_PARTS parts at least, however small the
+table; below that, there is nothing to learn from: the table is one part, and the search is exact.
+
 Parts are split into blocks of bounded size by a hash of the id, as are the queries sent to a part, so no part, however
-common, meets in one task. Equal vectors are one candidate that carries its smallest k + 1 ids (ties go to smaller ids, so
-no other can be in a result): a vector that a third of all rows share costs as much as any other.
+common, meets in one task. Vectors travel in their stored type and are widened where they are used. Equal vectors are one
+candidate that carries its smallest k + 1 ids (ties go to smaller ids, so no other can be in a result): a vector that a
+third of all rows share costs as much as any other.
 
 Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do null ids or vectors of
 another length than the most common (of equally common lengths, the longest). Rows repeated with id and vector count once.
@@ -16,7 +23,8 @@ A row whose id another vector has too is searched and found as either. An empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +32,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placeweave.llm.common import saved
+from placeweave.llm.common import joined_small, saved
 
 SAMPLE, PER_PART, MAX_PARTS = 16384, 1500, 256
+#: Of a part that is cut again: how many times PER_PART it has to hold, how many vectors are learnt from, how often at most.
+SPLIT, PART_SAMPLE, LEVELS = 4, 4096, 6
+FEW_PARTS, MIN_SAMPLE = 8, 128
 GRAPH_K, HIDDEN, EPOCHS, RATE = 16, 128, 30, 2e-3
 RECALL = 0.96
 BLOCK, QUERY_BLOCK = 4096, 4096
@@ -152,14 +163,66 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+#: A part's children are numbered from its own number times this, plus 1; the parts of the first level are those of 0.
+CHILDREN = 512
+
+
+def _probes(router: Router, v: np.ndarray, sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which parts each vector is sent to (as a table), and the same as pairs: its likeliest, and more until they hold k + 1 vectors."""
+    order = np.argsort(-router.logits(v), axis=1, kind="stable")
+    held = np.cumsum(sizes[order], axis=1) - sizes[order]  # in the parts before
+    at, nth = np.nonzero((np.arange(order.shape[1]) < router.probes) | (held < k + 1))
+    to = order[at, nth]
+    probed = np.zeros(order.shape, bool)
+    probed[at, to] = True
+    return probed, at, to
+
+
+def _learn_part(dim: int, k: int, recall: float) -> Callable[[pa.Table], pa.Table]:
+    """From a part's sample (cell, n, v) its classifier."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, n = _matrix(table["v"].combine_chunks(), dim)[: 2 * PART_SAMPLE], table["n"][0].as_py()
+        parts = max(2, min(MAX_PARTS, n // PER_PART, len(x) // 64))
+        return pa.table({"cell": table["cell"][:1], "n": table["n"][:1], "router": pa.array([pickle.dumps(learn(x, parts, k, recall))], pa.binary())})
+
+    return run
+
+
+def _descended(rows: DataFrame, routers: DataFrame, ddl: str, dim: int, pick: Callable) -> DataFrame:
+    """``rows`` (with first, v, cell) in the children of their cells that ``pick`` names, where ``routers`` has the cell; as they are elsewhere.
+
+    A cell's rows are dealt to blocks, each of which meets a copy of the cell's classifier."""
+    counted = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = saved(joined_small(counted, routers.select("cell"), "cell", "inner"), "blocks")
+    dealt = joined_small(rows, blocks, "cell", "inner").withColumn("salt", F.pmod(F.xxhash64("first"), "blocks").cast("int")).drop("blocks")
+    copies = joined_small(routers, blocks, "cell", "inner").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    names = rows.columns
+
+    def run(have: pa.Table, model: pa.Table) -> pa.Table:
+        have = have.select(names)
+        if not have.num_rows or not model.num_rows:
+            return have.slice(0, 0)
+        router, held = pickle.loads(model["router"][0].as_py()), np.zeros(CHILDREN, np.int64)
+        for h in model["held"][0].as_py() if "held" in model.column_names else ():
+            held[h["child"]] = h["n"]
+        at, child = pick(router, _matrix(have["v"].combine_chunks(), dim), held[: len(router.w[3])])
+        out = have.take(pa.array(at))
+        cell = have["cell"][0].as_py() * CHILDREN + 1 + child.astype(np.int64)
+        return out.set_column(names.index("cell"), "cell", pa.array(cell))
+
+    moved = dealt.groupBy("cell", "salt").cogroup(copies.groupBy("cell", "salt")).applyInArrow(run, ddl)
+    return moved.unionByName(joined_small(rows, blocks.select("cell"), "cell", "left_anti"))
+
+
 def search(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every query row among all other rows."""
-    rows = df.where(F.col(vec_id).isNotNull() & _usable(F.col(vector))).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("q"))
+    rows = df.where(F.col(vec_id).isNotNull() & _usable(F.col(vector))).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q"))
     empty = df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lengths = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     if lengths is None:
         return empty
-    dim = lengths["dim"]
+    dim, kind = lengths["dim"], rows.schema["v"].dataType.simpleString()
     rows = rows.where(F.size("v") == dim)
     # Group limits run before the shuffle: of a common vector, each task sends its k + 1 smallest ids.
     few = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
@@ -169,29 +232,28 @@ def search(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
     total = vectors.count()
     picked = vectors.orderBy(F.xxhash64("first", "v"), "first").limit(sample).select("v").toArrow()["v"].combine_chunks()
     x = _matrix(picked, dim)
-    parts = max(1, min(MAX_PARTS, total // PER_PART, len(x) // 64))
+    parts = max(FEW_PARTS, min(MAX_PARTS, total // PER_PART, len(x) // 64)) if len(x) >= MIN_SAMPLE else 1
+    deeper = total > parts * SPLIT * PER_PART  # some part will be cut again, which loses neighbours as well
+    recall = recall**0.5 if deeper else recall
     router = learn(x, parts, k, recall)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             home = router.logits(_matrix(batch.column(2), dim)).argmax(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int32))], names=["first", "ids", "v", "part"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home.astype(np.int64) + 1)], names=["first", "ids", "v", "cell"])
 
-    index = saved(vectors.mapInArrow(place, "first long, ids array<long>, v array<double>, part int"), "index")
+    index_ddl, routed_ddl = f"first long, ids array<long>, v {kind}, cell long", f"first long, v {kind}, cell long, least double"
+    index = saved(vectors.mapInArrow(place, index_ddl), "index")
     sizes = np.zeros(parts, np.int64)
-    for r in index.groupBy("part").count().collect():  # MAX_PARTS rows at most
-        sizes[r["part"]] = r["count"]
+    for r in index.groupBy("cell").count().collect():  # MAX_PARTS rows at most
+        sizes[r["cell"] - 1] = r["count"]
+    deeper = bool((sizes > SPLIT * PER_PART).any())
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = np.argsort(-router.logits(_matrix(batch.column(1), dim)), axis=1, kind="stable")
-            held = np.cumsum(sizes[order], axis=1) - sizes[order]  # in the parts before
-            probe = (np.arange(parts) < router.probes) | (held < k + 1)
-            at, nth = np.nonzero(probe)
-            in_part = np.zeros((len(order), parts), bool)
-            in_part[at, order[at, nth]] = True
-            least = floor(_matrix(batch.column(1), dim), in_part)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(order[at, nth].astype(np.int32)), pa.array(least[at])], names=["first", "v", "part", "least"])
+            probe, at, to = _probes(router, _matrix(batch.column(1), dim), sizes, k)
+            least = np.full(len(probe), -np.inf) if deeper else floor(_matrix(batch.column(1), dim), probe)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(to + 1), pa.array(least[at])], names=["first", "v", "cell", "least"])
 
     near, near_home = np.ascontiguousarray(x.T), router.logits(x).argmax(1)
 
@@ -205,12 +267,23 @@ def search(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
         return np.where(np.isfinite(out), out - 1e-9 * (1 + np.abs(out)), out)
 
     queries = vectors.join(asked.select("first").distinct(), "first", "left_semi").select("first", "v")
-    routed = saved(queries.mapInArrow(route, "first long, v array<double>, part int, least double"), "routed")
-    sent = dict(routed.groupBy("part").count().collect())
-    blocks = {p: (max(1, -(-int(sizes[p]) // BLOCK)), max(1, -(-sent.get(p, 0) // QUERY_BLOCK))) for p in range(parts)}
-    b, qb = (F.element_at(F.array(*(F.lit(blocks[p][i]) for p in range(parts))), F.col("part") + 1) for i in (0, 1))
-    cells = index.withColumns({"b": F.pmod(F.xxhash64("first"), b).cast("int"), "qb": F.explode(F.sequence(F.lit(0), qb - 1))})
-    calls = routed.withColumns({"qb": F.pmod(F.xxhash64("first"), qb).cast("int"), "b": F.explode(F.sequence(F.lit(0), b - 1))})
+    routed = saved(queries.mapInArrow(route, routed_ddl), "routed")
+    for level in range(LEVELS if deeper else 0):
+        large = saved(index.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT * PER_PART), "large")
+        if not large.limit(1).count():
+            break
+        share = F.pmod(F.xxhash64("first", F.lit(level)), F.lit(1 << 30)) * F.col("n") < F.lit(PART_SAMPLE << 30)
+        learnt = joined_small(index, large, "cell", "inner").where(share).select("cell", "n", "v").groupBy("cell").applyInArrow(_learn_part(dim, k, recall), "cell long, n long, router binary")
+        routers = saved(learnt, "routers")
+        index = saved(_descended(index, routers, index_ddl, dim, lambda own, v, _: (np.arange(len(v)), own.logits(v).argmax(1))), "index")
+        child = index.where(F.col("cell") >= CHILDREN**(level + 1)).select(F.floor((F.col("cell") - 1) / CHILDREN).alias("parent"), F.pmod(F.col("cell") - 1, F.lit(CHILDREN)).alias("child"))
+        held = child.groupBy("parent", "child").agg(F.count("*").alias("n")).groupBy(F.col("parent").alias("cell")).agg(F.collect_list(F.struct("child", "n")).alias("held"))  # CHILDREN at most
+        routers = saved(joined_small(routers, saved(held, "held"), "cell", "inner"), "routers")
+        routed = saved(_descended(routed, routers, routed_ddl, dim, lambda own, v, held: _probes(own, v, held, k)[1:]), "routed")
+    info = index.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).join(routed.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks")), "cell")
+    info = saved(info, "info")
+    cells = joined_small(index, info, "cell", "inner").withColumns({"b": F.pmod(F.xxhash64("first"), "blocks").cast("int"), "qb": F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1))}).drop("blocks", "query_blocks")
+    calls = joined_small(routed, info, "cell", "inner").withColumns({"qb": F.pmod(F.xxhash64("first"), "query_blocks").cast("int"), "b": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))}).drop("blocks", "query_blocks")
 
     def rank(have: pa.Table, want: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
@@ -236,7 +309,7 @@ def search(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
         ids = pa.chunked_array(kept, pa.list_(pa.int64()))
         return pa.table([pa.array(flat[0]), pa.array(flat[1]), pa.array(flat[2]), ids], names=["asked", "first", "score", "ids"])
 
-    found = cells.groupBy("part", "b", "qb").cogroup(calls.groupBy("part", "b", "qb")).applyInArrow(rank, "asked long, first long, score double, ids array<long>")
+    found = cells.groupBy("cell", "b", "qb").cogroup(calls.groupBy("cell", "b", "qb")).applyInArrow(rank, "asked long, first long, score double, ids array<long>")
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "first"))).where(F.col("nth") <= k + 1)
     best = best.groupBy("asked").agg(F.collect_list(F.struct("score", "ids")).alias("hits"))  # k + 1 at most
     pairs = F.flatten(F.transform("hits", lambda h: F.transform(h["ids"], lambda i: F.struct((-h["score"]).alias("far"), i.alias("vec_id")))))

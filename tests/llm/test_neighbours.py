@@ -56,3 +56,48 @@ def test_balanced_parts():
     graph = neighbours._top(x, x, 8, True)
     label = neighbours.balanced_parts(x, graph, 9, rng)
     assert np.bincount(label, minlength=9).max() <= np.ceil(1.1 * 100) and (label[graph] == label[:, None]).mean() > 0.2
+
+
+def recall_of(spark, x, k=10, **options):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = neighbours.search(df, F.col("vec_id") % 20 == 0, k=k, **options).toPandas()
+    asked = range(0, len(x), 20)
+    wide = x.astype(np.float64)
+    s = wide[::20] @ wide.T
+    s[np.arange(len(s)), np.arange(0, len(x), 20)] = -np.inf
+    want = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    own = {q: set(g.vec_id) for q, g in got.groupby("query_id")}
+    assert len(got) == k * len(asked)
+    return sum(len(set(w.tolist()) & own[q]) for q, w in zip(asked, want, strict=True)) / want.size
+
+
+def clustered(n, seed, dim=16, centres=40):
+    rng = np.random.default_rng(seed)
+    c = rng.standard_normal((centres, dim)) * 2
+    return (c[rng.integers(0, centres, n)] + rng.standard_normal((n, dim)) * 0.7).astype(np.float32)
+
+
+def test_small_tables_have_parts_too(spark, monkeypatch):
+    used = []
+    learn = neighbours.learn
+    monkeypatch.setattr(neighbours, "learn", lambda x, parts, *rest: used.append(parts) or learn(x, parts, *rest))
+    assert recall_of(spark, clustered(500, 3)) >= 0.9 and used == [neighbours.FEW_PARTS]
+
+
+def test_parts_are_cut_again_where_the_table_grows(spark, monkeypatch):
+    """Three levels: parts stay small, recall stays high, and every query still gets its k."""
+    for name, value in (("PER_PART", 20), ("MAX_PARTS", 8), ("FEW_PARTS", 4), ("PART_SAMPLE", 400), ("SPLIT", 3), ("BLOCK", 100), ("QUERY_BLOCK", 50)):
+        monkeypatch.setattr(neighbours, name, value)
+    cut = []
+    descended = neighbours._descended
+    monkeypatch.setattr(neighbours, "_descended", lambda rows, *rest: cut.append(1) or descended(rows, *rest))
+    assert recall_of(spark, clustered(3000, 4), sample=600) >= 0.9
+    assert len(cut) >= 4  # two levels below the first, index and queries
+
+
+def test_probes_hold_enough_vectors():
+    rng = np.random.default_rng(0)
+    router = neighbours.Router(4, 6, rng)
+    sizes = np.array([0, 1, 2, 0, 30, 5])
+    probed, at, to = neighbours._probes(router, rng.standard_normal((50, 4)), sizes, 4)
+    assert all(sizes[row].sum() >= 5 for row in probed) and probed.sum() == len(at) == len(to)
