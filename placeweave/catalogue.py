@@ -168,13 +168,13 @@ def delimiter_segments(t: Tables) -> DataFrame:
 select p_partkey, n::int as n, i::int as s, (i + n)::int as e, array_to_string(w[i + 1 : i + n], ' ') as ngram from x, n, lateral (select unnest(range(0, greatest(len(w) - n + 1, 0))) as i)""")
 def ngrams_1_3(t: Tables) -> DataFrame:
     items = N.indexed(N.words(F.concat("p_name", F.lit(" "), F.lower("p_type"))))
-    return t.part.select("p_partkey", F.explode(N.ngrams(items)).alias("g")).select("p_partkey", "g.n", "g.s", "g.e", "g.ngram")
+    return t.part.select("p_partkey", items.alias("items")).select("p_partkey", F.explode(N.ngrams_of("items")).alias("g")).select("p_partkey", "g.n", "g.s", "g.e", "g.ngram")
 
 
 @query("select p_partkey, p_size::varchar as ngram, p_size % 2 = 0 as kw from part")
 def ngram_prev_keyword(t: Tables) -> DataFrame:
     words = F.array(F.lit("pho"), F.when(F.col("p_size") % 2 == 0, "quan").otherwise("so"), F.col("p_size").cast("string"))
-    return t.part.select("p_partkey", F.explode(N.ngrams(N.indexed(words), 1)).alias("g")).where("g.s = 2").select("p_partkey", "g.ngram", "g.kw")
+    return t.part.select("p_partkey", N.indexed(words).alias("items")).select("p_partkey", F.explode(N.ngrams_of("items", 1)).alias("g")).where("g.s = 2").select("p_partkey", "g.ngram", "g.kw")
 
 
 @query("""select p_partkey, p_size::varchar || '|' || split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) as districts, p_name as wards from part""")
@@ -191,9 +191,9 @@ def phrase_position(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", N.phrase_position(words, F.col("p_name")).cast("int").alias("pos"), N.phrase_position(words, F.lit("not there")).cast("int").alias("none"))
 
 
-@query(r"select doc_id, array_to_string(list_transform(list_filter(range(0, least(12, len(w))), lambda i: not (i >= 2 and i < 5)), lambda i: w[i + 1]), ' ') as rest from (select doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') as w from documents)")
+@query(r"select doc_id, array_to_string(list_transform(list_filter(range(0, len(w)), lambda i: not (i >= 2 and i < 5)), lambda i: w[i + 1]), ' ') as rest from (select doc_id, list_filter(string_split(text, ' '), lambda x: x <> '') as w from documents)")
 def remaining_tokens(t: Tables) -> DataFrame:
-    words = F.slice(N.words(F.col("text")), 1, 12)
+    words = N.words(F.col("text"))
     return t.documents.select("doc_id", N.remaining(words, [(F.lit(2), F.lit(5)), (F.lit(-1), F.lit(-1))]).alias("rest"))
 
 
@@ -321,11 +321,11 @@ def correlated_full_names(t: Tables) -> DataFrame:
 
 
 def _moves(t: Tables) -> DataFrame:
-    note = F.when(F.col("id") % 3 == 0, "Nhập toàn bộ").when(F.col("id") % 3 == 1, "Đổi tên").otherwise("khác")
+    note = F.when(F.col("id") % 3 == 0, F.concat(F.lit("Nhập toàn bộ "), "w")).when(F.col("id") % 3 == 1, F.concat(F.lit("("), "d", F.lit(") Đổi tên"))).otherwise("khác")
     return divisions(t).where("id % 2 = 0").select(F.upper("p_full").alias("old_province"), F.upper("d_full").alias("old_district"), F.upper("w_full").alias("old_ward"), F.concat(F.lit("new "), "p").alias("new_province"), F.concat(F.lit("new "), "w").alias("new_ward"), note.alias("note"))
 
 
-@query(GAZ + """ , m as (select p_full, d_full, w_full, 'new ' || p as np, 'new ' || w as nw, case id % 3 when 0 then 'Nhập toàn bộ' when 1 then 'Đổi tên' else 'khác' end as note, case id % 3 when 0 then 1 when 1 then 2 else 4 end as pr from dv where id % 2 = 0),
+@query(GAZ + """ , m as (select p_full, d_full, w_full, 'new ' || p as np, 'new ' || w as nw, case id % 3 when 0 then 'Nhập toàn bộ ' || w when 1 then '(' || d || ') Đổi tên' else 'khác' end as note, case id % 3 when 0 then 1 when 1 then 2 else 4 end as pr from dv where id % 2 = 0),
 r as (select id as row_id, p_full, case when id % 5 = 0 then null else d_full end as d_full, case when id % 5 in (0, 1) then null else w_full end as w_full from dv),
 x as (select row_id, np, nw, note, pr from r join m on r.w_full is not null and m.w_full = r.w_full and m.d_full = r.d_full and m.p_full = r.p_full
   union all select row_id, np, nw, note, pr from r join m on r.w_full is null and m.d_full = r.d_full and m.p_full = r.p_full
@@ -340,7 +340,8 @@ def migration_cascade(t: Tables) -> DataFrame:
 
 @query("select o_orderpriority, o_orderkey, row_number() over (partition by o_custkey order by case when o_orderpriority = '1-URGENT' then 1 when o_orderpriority = '2-HIGH' then 2 else 4 end, o_orderkey)::int as n from orders")
 def migration_priority(t: Tables) -> DataFrame:
-    note = F.when(F.col("o_orderpriority") == "1-URGENT", "Nhập toàn bộ").when(F.col("o_orderpriority") == "2-HIGH", "Đổi tên").otherwise(F.col("o_orderpriority"))
+    key = F.col("o_orderkey").cast("string")
+    note = F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("Nhập toàn bộ xã "), key)).when(F.col("o_orderpriority") == "2-HIGH", F.concat(key, F.lit(" Đổi tên"))).otherwise(F.col("o_orderpriority"))
     return t.orders.withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy(G.migration_priority(note), "o_orderkey"))).select("o_orderpriority", "o_orderkey", "n")
 
 
@@ -508,3 +509,6 @@ def page_scrape(t: Tables) -> DataFrame:
 def pricing_summary(t: Tables) -> DataFrame:
     rows = t.lineitem.where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
+
+
+from placeweave import catalogue_more  # noqa: E402, F401  (registers its queries above)

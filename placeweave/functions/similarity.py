@@ -85,4 +85,6 @@ def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """2 * LCS / both lengths of the texts with their words sorted; 0 if either is empty."""
     x, y = (F.array_join(F.array_sort(tokens_of(c)), " ") for c in (a, b))
-    return F.when(F.coalesce((x != "") & (y != ""), F.lit(False)), _indel(x, y)).otherwise(0.0)
+    both = F.coalesce((x != "") & (y != ""), F.lit(False))
+    some = F.when(both & (x != y), x)  # only pairs that differ leave the JVM with their texts
+    return F.when(both & (x == y), 1.0).when(both, _indel(some, F.when(some.isNotNull(), y))).otherwise(0.0)

@@ -19,8 +19,9 @@ def _nfc(texts: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Unicode NFC; only texts with combining marks leave the JVM."""
-    return F.when(c.rlike("[̀-ͯ]"), _nfc(c)).otherwise(c)
+    """Unicode NFC. A Python function runs for every row, whatever condition it stands under; so that only texts with
+    combining marks leave the JVM, all others go in as nulls."""
+    return F.coalesce(_nfc(F.when(c.rlike("[̀-ͯ]"), c)), c)
 
 
 def fold_accents(c: Column) -> Column:
@@ -113,11 +114,20 @@ def name_of_full(c: Column) -> Column:
     return title_case(out)
 
 
+def _decomposed() -> tuple[str, str]:
+    """Every letter of the basic plane that decomposes to one letter and marks, and these letters."""
+    frm, to = [], []
+    for i in range(0xC0, 0xD800):
+        plain = "".join(x for x in unicodedata.normalize("NFD", chr(i)) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain != chr(i):
+            frm.append(chr(i))
+            to.append(plain)
+    return "".join(frm), "".join(to)
+
+
 def strip_marks_upper(c: Column) -> Column:
-    """Upper case without diacritics that decompose; the barred d stays."""
-    frm = "".join(a for a in K.ACCENTED if a not in "đĐ")
-    to = "".join(b for a, b in zip(K.ACCENTED, K.PLAIN, strict=True) if a not in "đĐ")
-    return F.upper(F.translate(c, frm, to))
+    """Upper case without diacritics, whether they are composed or stand as marks of their own; the barred d stays."""
+    return F.upper(F.regexp_replace(F.translate(c, *_decomposed()), r"\p{Mn}", ""))
 
 
 def split_fixed(c: Column, width: int = 40, parts: int = 3) -> list[Column]:

@@ -46,6 +46,20 @@ def is_keyword(t: Column, words_: tuple[str, ...] = K.KEYWORDS) -> Column:
     return F.coalesce(t.isin(*words_), F.lit(False))
 
 
+def ngrams_of(items: str, most: int = 3) -> Column:
+    """``ngrams`` of the column named ``items``, as one expression of SQL text: a thousand calls to the JVM less."""
+    words_ = ", ".join(f"'{w}'" for w in K.KEYWORDS)
+
+    def of(n: int) -> str:
+        last = f"element_at({items}, i + {n}).i + 1"
+        before = f"coalesce(i > 0 and try_element_at({items}, greatest(i, 1)).t in ({words_}), false)"
+        one = f"named_struct('ngram', array_join(transform(slice({items}, i + 1, {n}), x -> x.t), ' '), 's', element_at({items}, i + 1).i, 'e', {last}, 'kw', {before}, 'n', {n})"
+        none = "cast(array() as array<struct<ngram:string,s:int,e:int,kw:boolean,n:int>>)"
+        return f"if(size({items}) >= {n}, transform(sequence(0, greatest(size({items}) - {n}, 0)), i -> {one}), {none})"
+
+    return F.expr(f"flatten(array({', '.join(of(n) for n in range(most, 0, -1))}))")
+
+
 def ngrams(items: Column, most: int = 3) -> Column:
     """n-grams of indexed tokens (longest first): ngram, first and last place + 1, whether a level word comes before.
 

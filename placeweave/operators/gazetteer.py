@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeweave.plans.stages import small
+
 DIVISIONS = "id int, p string, d string, w string, p_full string, d_full string, w_full string, state_code string, county_code string"
 ABBREVIATIONS = "key string, word string, province_context string, district_context string"
 MIGRATIONS = "old_province string, old_district string, old_ward string, new_province string, new_ward string, note string"
@@ -52,7 +54,7 @@ def validity(rows: DataFrame, divisions: DataFrame, p: str = "p", d: str = "d",
     df = rows
     for n, s in enumerate(known, 1):
         cond = [F.col(x) == F.col(f"v{n}_{c}") for x, c in zip((p, d, w)[:n], LEVELS[:n], strict=True)]
-        df = df.join(F.broadcast(s) if n < 3 else s, cond, "left")
+        df = df.join(small(s) if n < 3 else s, cond, "left")
     flag = F.when(F.col(w).isNotNull() & F.col(d).isNotNull(), F.col("v3")).when(F.col(w).isNotNull(), None).when(F.col(d).isNotNull(), F.col("v2")).otherwise(F.col("v1"))
     return df.select(*rows.columns, F.coalesce(flag, F.lit(False)).alias(out))
 
@@ -103,7 +105,7 @@ def abbreviation_at(rows: DataFrame, abbreviations: DataFrame) -> DataFrame:
 def province_candidates(rows: DataFrame, abbreviations: DataFrame, key: str = "key") -> DataFrame:
     """All provinces that a global abbreviation may mean, in order (1 to n)."""
     a = abbreviations.where("province_context is null and district_context is null").select(F.col("key").alias(key), "word").distinct()
-    return rows.join(F.broadcast(a), key)
+    return rows.join(small(a), key)
 
 
 def full_names(rows: DataFrame, divisions: DataFrame) -> DataFrame:
@@ -116,8 +118,9 @@ def full_names(rows: DataFrame, divisions: DataFrame) -> DataFrame:
 
 
 def migration_priority(note: Column) -> Column:
-    """Whole merger, renaming, unchanged, anything else."""
-    return F.when(note == "Nhập toàn bộ", 1).when(note == "Đổi tên", 2).when(note == "Giữ nguyên", 3).otherwise(4)
+    """Whole merger, renaming, unchanged, anything else, by what the note says first of these; notes may say more."""
+    says = [F.contains(note, F.lit(phrase)) for phrase in ("Nhập toàn bộ", "Đổi tên", "Giữ nguyên")]
+    return F.when(says[0], 1).when(says[1], 2).when(says[2], 3).otherwise(4)
 
 
 def migrations_of(rows: DataFrame, migrations: DataFrame, key: str = "row_id") -> DataFrame:
@@ -130,7 +133,7 @@ def migrations_of(rows: DataFrame, migrations: DataFrame, key: str = "row_id") -
     by_district = keyed.where("own_ward is null and own_district is not null").join(m, (F.col("own_district") == F.col("district")) & (F.col("own_province") == F.col("province"))).select(key, "new_province", "new_ward", "note")
     by_province = keyed.where("own_ward is null and own_district is null").join(m, F.col("own_province") == F.col("province")).select(key, "new_province", F.lit(None).cast("string").alias("new_ward"), "note").distinct()
     item = F.struct(migration_priority(F.col("note")).alias("priority"), "new_ward", "new_province", "note")
-    lists = by_ward.union(by_district).union(by_province).groupBy(key).agg(F.array_sort(F.collect_set(item)).alias("new_addresses"))
+    lists = by_ward.union(by_district).union(by_province).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("new_addresses"))
     empty = F.array().cast("array<struct<priority:int,new_ward:string,new_province:string,note:string>>")
     return rows.join(lists, key, "left").withColumn("new_addresses", F.transform(F.coalesce("new_addresses", empty), lambda x: F.struct(x["new_province"].alias("new_province"), x["new_ward"].alias("new_ward"), x["note"].alias("note"))))
 

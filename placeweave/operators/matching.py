@@ -47,3 +47,9 @@ def street_lookup(rows: DataFrame, streets: DataFrame, text: str = "text", thres
     scored = pairs.withColumn("score", F.when(F.col(text) == F.col("street"), 1.0).otherwise(S.ensemble(F.col(text), F.col("street")))).where(F.col("score") >= threshold)
     first = scored.withColumn("r", F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc(F.col(text) == F.col("street")), F.desc("score"), "id"))).where("r = 1")
     return rows.join(first.select("row_id", "street", F.col("score").alias("street_score")), "row_id", "left")
+
+
+def longest_first(pairs: DataFrame, by: str, name: str, score: str, place: str = "place") -> DataFrame:
+    """Numbers each row's candidate names: those of more words first, then by score, then by name."""
+    words = F.size(F.array_distinct(S.tokens_of(F.col(name))))
+    return pairs.withColumn(place, F.row_number().over(Window.partitionBy(by).orderBy(words.desc(), F.desc(score), name)).cast("int"))

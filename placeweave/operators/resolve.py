@@ -21,7 +21,8 @@ from placeweave.functions import text as T
 from placeweave.functions import tokens as N
 from placeweave.operators import gazetteer as G
 from placeweave.operators.matching import best_matches
-from placeweave.plans.stages import staged
+from placeweave.plans.stages import small, spread, staged
+
 
 def prepare(df: DataFrame, address: str = "address", province_hint: str | None = None, district_hint: str | None = None, row_id: str = "row_id") -> DataFrame:
     """row_id, raw, norm, tokens (array<struct<i, t>>), seg, hp, hd, explicit (struct of districts and wards)."""
@@ -35,7 +36,7 @@ def prepare(df: DataFrame, address: str = "address", province_hint: str | None =
 
 def _exploded(df: DataFrame, items: str, keep: list[str], most: int = 3) -> DataFrame:
     """n-grams of up to ``most`` words, and of four those with the words of a name in FOUR_WORDS."""
-    grams = df.select(*keep, F.explode(N.ngrams(F.col(items), max(most, 4))).alias("g")).select(*keep, "g.*")
+    grams = df.select(*keep, F.explode(N.ngrams_of(items, max(most, 4))).alias("g")).select(*keep, "g.*")
     four = F.array_join(F.array_sort(F.split("ngram", " ")), " ").isin(*(" ".join(sorted(x.split())) for x in K.FOUR_WORDS))
     return grams.where((F.col("n") <= most) | ((F.col("n") == 4) & four))
 
@@ -78,7 +79,7 @@ def provinces(rows: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     known = known.select("row_id", F.col("hp").alias("p"), F.when(F.col("at").isNotNull(), 1.2).otherwise(1.0).alias("p_score"), F.when(F.col("at").isNotNull(), "known_and_in_text").otherwise("known").alias("p_source"), F.coalesce("at.s", F.lit(-1)).alias("ps"), F.coalesce("at.e", F.lit(-1)).alias("pe"))
     free = grams.where("hp is null")
     short = free.where((F.col("n") <= 2) & (F.length("ngram") >= 2) & ~F.col("ngram").rlike(r"^\d+$"))
-    abbr = G.province_candidates(short.withColumnRenamed("ngram", "key"), gaz.abbreviations).join(F.broadcast(dims.select(F.col("name").alias("word"))), "word")
+    abbr = G.province_candidates(short.withColumnRenamed("ngram", "key"), gaz.abbreviations).join(small(dims.select(F.col("name").alias("word"))), "word")
     abbr = abbr.select("row_id", F.col("word").alias("p"), F.when(F.col("s") >= F.col("len") - 3, 0.95).otherwise(0.85).alias("p_score"), F.lit("abbreviation").alias("p_source"), F.col("s").alias("ps"), F.col("e").alias("pe"))
     full = free.where(~F.col("ngram").rlike(r"^\d+$") & ~F.arrays_overlap(F.split("ngram", " "), F.array(*map(F.lit, K.NOISE_WORDS)))).withColumn("one", F.lit(1))
     full = full.withColumn("mult", F.when(F.col("e") == F.col("len"), F.greatest(F.lit(1.0), N.delimiter_score(F.col("seg"), F.col("s"), F.col("e")))).otherwise(N.delimiter_score(F.col("seg"), F.col("s"), F.col("e"))))
@@ -98,7 +99,7 @@ def inferred_provinces(rows: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     grams = _exploded(rows, "tokens", ["row_id"]).where((F.length("ngram") >= 3) & ~F.col("ngram").rlike(r"^\d+$")).withColumn("one", F.lit(1))
     hits = grams.join(best_matches(grams, dims, ("one",)), ["one", "ngram"]).groupBy("row_id", F.col("match").alias("d")).agg(F.max("score").alias("score"))
     up = G.parents(gaz.divisions, ("d",), "p").select("d", "p")
-    found = hits.join(F.broadcast(up), "d").groupBy("row_id", "p").agg(F.max("score").alias("score"))
+    found = hits.join(small(up), "d").groupBy("row_id", "p").agg(F.max("score").alias("score"))
     out = found.select("row_id", "p", (F.col("score") * K.INHERIT_PENALTY).alias("p_score"), F.lit("inferred").alias("p_source"), F.lit(-1).alias("ps"), F.lit(-1).alias("pe"))
     return _top(out, ["row_id"], [F.desc("p_score"), "p"], K.PROVINCE_BEAM, "p_ord")
 
@@ -123,7 +124,7 @@ def districts(branches: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     keys = ["row_id", "p"]
     fixed = branches.where("hd is not null").select(*keys, F.col("hd").alias("d"), F.lit(1.0).alias("d_score"), F.lit("known").alias("d_source"), F.lit(-1).alias("ds"), F.lit(-1).alias("de"))
     twins = G.collisions(gaz.divisions).select(F.col("name").alias("p"), F.lit(True).alias("twin"))
-    open_ = branches.where("hd is null").join(F.broadcast(twins), "p", "left").join(F.broadcast(_maps(gaz.abbreviations, ["p"])), "p", "left")
+    open_ = branches.where("hd is null").join(small(twins), "p", "left").join(small(_maps(gaz.abbreviations, ["p"])), "p", "left")
     left = F.when(F.col("twin"), F.col("tokens")).otherwise(_drop_spans(F.col("tokens"), [("ps", "pe")]))
     open_ = staged(open_.select(*keys, _expand(left, F.col("words")).alias("items"), "explicit"), "branches")
     grams = staged(_numbers(_exploded(open_, "items", keys)), "grams")
@@ -154,7 +155,7 @@ def wards(branches: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     """Up to two wards of each (row_id, p, d) branch: w, w_score, ws, we, w_ord."""
     keys = ["row_id", "p", "d"]
     words = _maps(gaz.abbreviations, ["p", "d"])
-    open_ = branches.join(F.broadcast(words), ["p", "d"], "left").withColumn("items", _expand(_drop_spans(F.col("tokens"), [("ps", "pe"), ("ds", "de")]), F.col("words")))
+    open_ = branches.join(small(words), ["p", "d"], "left").withColumn("items", _expand(_drop_spans(F.col("tokens"), [("ps", "pe"), ("ds", "de")]), F.col("words")))
     dims = gaz.names("w").select("p", "d", F.col("w").alias("name"))
     open_ = staged(open_, "branches")
     grams = staged(_numbers(_exploded(open_, "items", keys)), "grams")
@@ -204,7 +205,7 @@ def candidates(rows: DataFrame, gaz: G.Gazetteer, strict_compat: bool = False) -
 
 def resolve(df: DataFrame, gaz: G.Gazetteer, address: str = "address", province_hint: str | None = None, district_hint: str | None = None, row_id: str = "row_id", strict_compat: bool = False) -> DataFrame:
     """One row for each row of ``df`` (unique ``row_id``): the winner's names, codes, leftovers, scores, quality and new addresses."""
-    rows = staged(prepare(df, address, province_hint, district_hint, row_id), "addresses")
+    rows = staged(prepare(spread(df, row_id), address, province_hint, district_hint, row_id), "addresses")
     best = staged(candidates(rows, gaz, strict_compat).where("cand_rank = 1"), "winners")
     out = rows.select("row_id", "raw", "norm", "tokens").join(best, "row_id", "left")
     out = staged(G.full_names(out, gaz.divisions), "full")

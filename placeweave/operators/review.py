@@ -101,3 +101,14 @@ def failures(df: DataFrame) -> DataFrame:
 
 def mapped_rate(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count("*").alias("total"), F.count(column).alias("mapped"), F.round(100 * ratio(F.count(column), F.count("*")), 4).alias("pct"))
+
+
+def candidates_per_source(df: DataFrame, row: str, source: str) -> DataFrame:
+    """How many candidates of a row came from each source."""
+    return df.groupBy(row, source).agg(F.count("*").alias("candidates"))
+
+
+def by_count(df: DataFrame, key: str) -> DataFrame:
+    """Each value of ``key`` with its rows and its place in the order of these, most first, equals by value."""
+    counts = df.groupBy(key).agg(F.count("*").alias("rows"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("rows"), key)).cast("int"))

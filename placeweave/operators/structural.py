@@ -10,6 +10,7 @@ from placeweave import constants as K
 from placeweave.functions import text as T
 from placeweave.functions import tokens as N
 from placeweave.operators import gazetteer as G
+from placeweave.plans.stages import small
 
 # Words that say a piece's level, ward before district before province.
 LEVEL_PATTERNS = (
@@ -41,7 +42,7 @@ def segments(df: DataFrame, text: str = "text", row_id: str = "row_id") -> DataF
 def hierarchy(segs: DataFrame, provinces: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Per row: ward, district and province of its pieces, unknown ones read by their place, and a confidence."""
     w = Window.partitionBy(row_id).orderBy("position")
-    rows = segs.withColumn("before", F.lag("level").over(w)).join(F.broadcast(provinces.select(F.col("p").alias("name"), F.lit(True).alias("is_p")).distinct()), "name", "left")
+    rows = segs.withColumn("before", F.lag("level").over(w)).join(small(provinces.select(F.col("p").alias("name"), F.lit(True).alias("is_p")).distinct()), "name", "left")
     last = (F.col("position") == F.col("n") - 1) & (F.col("n") > 1)
     unknown = F.col("level") == "unknown"
     named = lambda level: F.max_by(F.when(F.col("level") == level, F.col("name")), F.when(F.col("level") == level, F.col("position")))

@@ -12,14 +12,17 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where it is unset (tests), a temporary folder."""
+    """``spark.checkpoint.dir``; where it is unset on one machine (tests), a temporary folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,6 +36,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` if it has fewer partitions than there are cores: for work that is heavy for its bytes."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
+#: A side up to so many rows may be broadcast.
+SMALL = 500_000
+
+
+def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to have ``bound`` rows at most; as it is otherwise, so that joins with it shuffle."""
+    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _written:
