@@ -6,7 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +35,15 @@ def saved(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(df: DataFrame, tag: str) -> DataFrame:
-    """``saved``, after which every table that was saved before is deleted: for the end of a step whose tables no later step reads."""
-    old = [at for at in _made if at[0] is df.sparkSession]
+def tables() -> frozenset[str]:
+    """The tables there are now, for ``settled``."""
+    return frozenset(path for _, path in _made)
+
+
+def settled(df: DataFrame, tag: str, before: frozenset[str]) -> DataFrame:
+    """``saved``, after which the other tables that were saved since ``before`` are deleted: for the end of a step whose tables
+    no later step reads."""
+    old = [at for at in _made if at[1] not in before]
     out = saved(df, tag)
     _delete(old)
     return out
@@ -57,6 +63,12 @@ def _clean() -> None:
     _delete(list(_made))
 
 
+def aside(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``df`` with columns of these names renamed, in place, to others: so that they outlast a step that makes such columns."""
+    names = set(names)
+    return df.toDF(*(f"aside_{i}__" if c in names else c for i, c in enumerate(df.columns)))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

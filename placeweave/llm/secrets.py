@@ -31,10 +31,10 @@ from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.llm.common import slices
+from placeweave.llm.common import aside, slices
 
 BASE_KINDS = ("assign", "access", "hex")
 #: Kinds in the order that breaks ties of their starts.
@@ -197,6 +197,14 @@ def scan_secrets(df: DataFrame, text: str = "text", with_redacted: bool = True)
 
 
 def redacted(df: DataFrame) -> DataFrame:
-    """Documents with every secret replaced; ``n_chars`` follows the new text, all other columns stay."""
-    out = scan_secrets(df.select(*df.columns))
-    return out.select(*(F.col("redacted").alias("text") if c == "text" else F.length("redacted").cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in df.columns))
+    """Documents with every secret replaced; ``n_chars`` follows the new text, all other columns stay, whatever their names."""
+    own = aside(df, RESULT_DDL)
+
+    def column(name: str) -> Column:
+        if name == "text":
+            return F.col("redacted").alias(name)
+        if name == "n_chars":
+            return F.length("redacted").cast(df.schema[name].dataType).alias(name)
+        return F.col(f"`{name}`")
+
+    return scan_secrets(own).select(*map(column, own.columns)).toDF(*df.columns)

@@ -71,3 +71,31 @@ def test_registered():
     found = entry.queries()
     assert len([x for x in found if re.fullmatch(r"op\d+_\w+", x)]) == 10 and "pipeline" in found
     assert set(entry.oracle_sql()) <= set(found)
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, an empty table."""
+    from placeweave.llm import common
+
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, None, None, None, None), (3, "", "de", "b", 0), (None, "no id here at all", "en", "a", 9), (4, "password = hunter2secret and " + text[:60], "en", None, 3), (5, "long " * 60_000, "fr", "b", 1)]
+    names = "doc_id long, text string, lang string, source string, n_chars int, size int, score string, cid int, doc string"
+    df = spark.createDataFrame([(*r, 9, "s", 7, "d") for r in rows], names)
+    for docs in (df, df.limit(0)):
+        sf = str(tmp_path / str(docs.count()))
+        docs.write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(1, 0), (9, 1)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+        now, before = spark.read.parquet(f"{sf}/documents.parquet"), common.tables()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = common.settled(stage(spark, now, sf), name, before)
+            assert now.columns == docs.columns
+            assert all((r["size"], r.score, r.cid, r.doc) == (9, "s", 7, "d") for r in now.collect())
+        assert len(common.tables() - before) == 1
+        found = now.collect()
+        packed = corpus_pipeline.pack_sequences(spark, now, sf).collect()
+        if not docs.count():
+            assert found == packed == []
+            continue
+        assert {r.doc_id for r in found} == {1, None, 4, 5} and len(packed) >= len(found)
+        assert "hunter2secret" not in "".join(r.text for r in found)
+        assert max(r.length for r in packed) == 1024 and {r.doc_id for r in packed} == {1, None, 4, 5}
