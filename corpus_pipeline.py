@@ -10,17 +10,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from placeweave.llm import mixing, near_dedup, packing, secrets, toxicity
-from placeweave.llm.common import read, saved
+from placeweave.llm.common import read, settled, tables
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below their language's threshold."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    kept = toxicity.score_toxicity(docs, model).where(~F.coalesce("rejected", F.lit(False)))
-    return kept.select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +53,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The pieces of all sequences that ``documents`` becomes, stage by stage.
+
+    Each stage reads the table that the one before has written, and that stage's own intermediate tables are deleted as
+    soon as its result stands. Null and empty texts pass as documents without words until the mix, which has no words to
+    take from them; repeated rows are near-duplicates of each other, and all rows of the id that stays do; null ids are
+    kept; further columns, whatever their names, travel along; an empty table gives an empty result.
+    """
+    docs, before = read(spark, sf_dir, "documents"), tables()
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs = settled(stage(spark, docs, sf_dir), name, before)
     return STAGES[-1][1](spark, docs, sf_dir)
