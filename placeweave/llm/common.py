@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -74,11 +76,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cuts batches into runs of rows of about ``limit`` bytes, so that a worker's memory does not follow the batch size."""
+    """Cuts batches into runs of rows of about ``limit`` bytes, so that a worker's memory does not follow the batch size.
+
+    Workers are used again for other tasks: what earlier ones freed goes back to the system first, and again at the end."""
+    _trim()
     for batch in batches:
         step = max(1, batch.num_rows * limit // max(batch.nbytes, 1))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+    _trim()
+
+
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc keep or return it by themselves
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def joined_small(df: DataFrame, small: DataFrame, on, how: str = "left", bound: int = 500_000) -> DataFrame:

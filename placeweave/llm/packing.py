@@ -193,8 +193,8 @@ def _tokenize_and_pack(tokenizer_path: str, capacity: int, with_ids: bool, speci
                     part = data[4 * start : 4 * (start + length)]
                     for to, value in zip(rows, (doc_id, i, start, length, zlib.crc32(part), np.frombuffer(part, np.int32) if with_ids else None), strict=True):
                         to.append(value)
-                    held += length if with_ids else 64
-            if len(rows[0]) >= CHUNK or held >= 64 << 20:
+                    held += 64 + (8 * length if with_ids else 0)
+            if len(rows[0]) >= CHUNK or held >= 32 << 20:
                 yield from emit()
                 held = 0
         if rows[0]:
