@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from placeweave.catalogue import GAZ, Tables, divisions, query
 from placeweave.functions import scoring as C
 from placeweave.functions import similarity as S
 from placeweave.functions import text as T
 from placeweave.functions import tokens as N
-from placeweave.operators import matching, review, structural
+from placeweave.operators import combine, context, enrich, matching, resolve, review, structural
+from placeweave.operators import gazetteer as G
+from placeweave.sources import writers
 
 
 @query("""select p_partkey, coalesce(b <> '' and (contains(lower(a), lower(b)) or contains(lower(b), lower(a))), false) as inside
@@ -115,3 +118,124 @@ def names_of_full_names(t: Tables) -> DataFrame:
     k = F.col("id") % 3
     full = F.concat(F.when(k == 0, "QUẬN ").when(k == 1, "XÃ ").otherwise(""), F.upper("d"))
     return divisions(t).select("id", T.name_of_full(full).alias("name"))
+
+
+GIVEN = GAZ + """, asked as (select id as row_id, case when id % 5 <> 1 then p end as p, case when id % 5 not in (2, 4) then d when id % 5 = 4 then '' end as d,
+  case when id % 5 not in (3, 4) then case when id % 7 = 0 then w || ' x' else w end end as w from dv)"""
+
+
+def _given(t: Tables) -> DataFrame:
+    m, name = F.col("id") % 5, F.when(F.col("id") % 7 == 0, F.concat("w", F.lit(" x"))).otherwise(F.col("w"))
+    d = F.when(~m.isin(2, 4), F.col("d")).when(m == 4, "")
+    return divisions(t).select(F.col("id").alias("row_id"), F.when(m != 1, F.col("p")).alias("p"), d.alias("d"), F.when(~m.isin(3, 4), name).alias("w"))
+
+
+@query(GIVEN + """ select row_id, min(x.id)::int as id, arg_min(case when a.d <> '' then x.d_full end, x.id) as d_full, arg_min(case when a.w is not null then x.w_full end, x.id) as w_full
+from asked a left join dv x on (a.p is null or a.p = x.p) and (coalesce(a.d, '') = '' or a.d = x.d) and (a.w is null or a.w = x.w)
+  and (a.p is not null)::int + (coalesce(a.d, '') <> '')::int + (a.w is not null)::int >= 2 group by row_id""")
+def lookup_of_given_names(t: Tables) -> DataFrame:
+    return G.lookup(_given(t), divisions(t)).select("row_id", "found.id", "found.d_full", "found.w_full")
+
+
+@query(GIVEN + """ select a.row_id, x.id from asked a join dv x on (a.p is null or a.p = x.p) and (coalesce(a.d, '') = '' or a.d = x.d) where a.p is not null or coalesce(a.d, '') <> ''""")
+def candidates_in_scope(t: Tables) -> DataFrame:
+    return G.scoped(_given(t), divisions(t)).select("row_id", "division.id")
+
+
+@query("""select p_partkey, case k when 0 then 'thanh xuan ' || p_name || ' hoan kiem ha noi' when 1 then 'tx ' || p_name when 2 then 'tx ' || p_name || ' da nang' when 3 then 'thanh xuan ' || p_name else '' end as normalized,
+  case k when 0 then 'ha noi' when 2 then 'da nang' when 3 then 'ha noi' end as province_context, case k when 5 then null end as district_context, case when k in (0, 2) then 2 else 1 end as iterations
+from (select p_partkey, p_name, p_partkey % 5 as k from part)""")
+def context_in_two_passes(t: Tables) -> DataFrame:
+    rows = [("hn", "ha noi", None, None), ("tx", "thanh xuan", "ha noi", None), ("ph co", "hoan kiem", "ha noi", None), ("dn", "da nang", None, None), ("dn", "dong nai", None, None), ("tx", "x", "ha noi", "y")]
+    k, name = F.col("p_partkey") % 5, F.col("p_name")
+    text = F.when(k == 0, F.concat(F.lit("TX. "), name, F.lit(" ph co, HN"))).when(k.isin(1, 3), F.concat(F.lit("tx, "), name)).when(k == 2, F.concat(F.lit("TX "), name, F.lit(", Đà Nẵng")))
+    df = t.part.select("p_partkey", text.alias("address"), F.when(k == 3, "Tỉnh Hà Nội").alias("hint"))
+    out = context.iterative(df, t.spark.createDataFrame(rows, G.ABBREVIATIONS), province_hint="hint")
+    return out.select("p_partkey", "normalized", "province_context", F.col("district_context").cast("int").alias("district_context"), "iterations")
+
+
+@query(GAZ + """, x as (select id as row_id, case when id % 6 = 5 then p || ' x' else p end as p, case when id % 6 in (0, 1, 5) then d when id % 6 = 4 then d || ' x' else '' end as d, case when id % 6 = 0 then w end as w from dv)
+select row_id, upper(p) as p_full, case when d <> '' then d_full else '' end as d_full, case when w is not null then w_full else '' end as w_full, 1 + (d <> '')::int + (w is not null)::int as at_rule, case when d <> '' then 0.95 else 0 end::double as d_score, 'structural_comma' as source
+from x join (select id as row_id, d_full, w_full from dv) using (row_id) where row_id % 6 not in (4, 5)""")
+def structural_candidates(t: Tables) -> DataFrame:
+    m = F.col("id") % 6
+    district = F.when(m.isin(0, 1, 5), F.col("d")).when(m == 4, F.concat("d", F.lit(" x"))).otherwise("")
+    province = F.when(m == 5, F.concat("p", F.lit(" x"))).otherwise(F.col("p"))
+    parsed = divisions(t).select(F.col("id").alias("row_id"), province.alias("province"), district.alias("district"), F.when(m == 0, F.col("w")).alias("ward"), F.lit(0.9).alias("confidence"))
+    return structural.as_candidates(parsed, divisions(t)).select("row_id", "p_full", "d_full", "w_full", "at_rule", "d_score", "source")
+
+
+@query("""select l_orderkey as row_id, arg_min(p, k) as p, count(*) as candidates, bool_and(valid) as all_valid from (
+  select l_orderkey, l_partkey as p, l_returnflag <> 'R' as valid, row_number() over (partition by l_orderkey order by l_extendedprice, l_partkey, l_suppkey, l_linenumber) as k from lineitem) group by 1""")
+def best_and_all_valid(t: Tables) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber")
+    valid = F.when(F.col("l_returnflag") != "R", True)
+    cands = t.lineitem.select(F.col("l_orderkey").alias("row_id"), F.col("l_partkey").alias("p"), valid.alias("valid"), F.row_number().over(w).alias("cand_rank"))
+    return resolve.validated(cands).select("row_id", "best.p", "candidates", "all_valid")
+
+
+@query("""with c as (select l_orderkey as row_id, l_returnflag as p, case when l_linestatus = 'O' then l_linestatus end as d, l_quantity as combined, row_number() over (partition by l_orderkey order by l_extendedprice, l_partkey, l_suppkey, l_linenumber) as k from lineitem),
+f as (select row_id, p, min(k) as k from c group by 1, 2)
+select row_id, arg_min(combined, k) as combined, (select string_agg(p, '|' order by f.k) from f where f.row_id = c.row_id) as provinces, coalesce(max(d), '') as districts, count(*) as candidates from c group by row_id""")
+def potential_names(t: Tables) -> DataFrame:
+    w = Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_partkey", "l_suppkey", "l_linenumber")
+    d = F.when(F.col("l_linestatus") == "O", F.col("l_linestatus"))
+    cands = t.lineitem.select(F.col("l_orderkey").alias("row_id"), F.col("l_returnflag").alias("p"), d.alias("d"), F.lit(None).cast("string").alias("w"), F.col("l_quantity").alias("combined"), F.row_number().over(w).alias("cand_ord"))
+    return resolve.match_summary(cands).select("row_id", "best.combined", F.array_join("potential_p", "|").alias("provinces"), F.array_join("potential_d", "|").alias("districts"), "candidates")
+
+
+def _options(t: Tables) -> DataFrame:
+    """Names of a gazetteer's rows as what an address may mean: more of each level than are combined, for some rows surely one."""
+    dv = divisions(t).select(F.col("id").alias("row_id"), "p", "d", "w")
+    n = F.explode(F.sequence(F.lit(0), F.lit(6))).alias("n")
+    level = lambda c: dv.select("row_id", F.lit(c).alias("level"), F.col(c).alias("own"), n)
+    rows = level("p").union(level("d")).union(level("w"))
+    sure = (F.col("row_id") % 4 == 0) & (F.col("n") == 0) & (F.col("level") != "w")
+    rows = rows.where((F.col("row_id") % 5 != 1) | (F.col("level") != "d"))
+    name = F.when(F.col("n") == 0, F.col("own")).otherwise(F.concat_ws(" ", "own", F.col("n").cast("string")))
+    return rows.select("row_id", "level", name.alias("name"), F.when(sure, 1.0).otherwise(0.95 - 0.05 * F.col("n")).alias("score"), F.lit(0).alias("s"), F.lit(1).alias("e"))
+
+
+@query(GAZ + """, k as (select unnest(range(0, 7))::int as n), o as (select id as row_id, case when n = 0 then p else p || ' ' || n end as p, case when n = 0 then d else d || ' ' || n end as d, case when n = 0 then w else w || ' ' || n end as w, n from dv, k),
+ps as (select row_id, p from o where n < case when row_id % 4 = 0 then 1 else 3 end),
+ds as (select row_id, d from o where row_id % 5 <> 1 and n < case when row_id % 4 = 0 then 1 else 5 end
+  union all select row_id, null from o where row_id % 5 = 1 and n = 0 union all select row_id, d from o where row_id % 5 = 1 and n = 0),
+ws as (select row_id, w from o where n < 3 union all select row_id, null from o where n = 0)
+select row_id, p, d, w from ps join ds using (row_id) join ws using (row_id)""")
+def candidate_product(t: Tables) -> DataFrame:
+    dv = divisions(t)
+    return combine.combined(dv.select(F.col("id").alias("row_id")), _options(t), dv).select("row_id", "p", "d", "w")
+
+
+@query("""select round(avg(value) filter (r = 0), 6) as mean_0, round(avg(value) filter (r = 1), 6) as mean_1, round(avg(value) filter (r = 2), 6) as mean_2, null::double as mean_3 from (select value, user_id % 3 as r from events)""")
+def conditional_average(t: Tables) -> DataFrame:
+    out = review.conditional_averages(t.events.select((F.col("user_id") % 3).alias("user_rating"), F.col("value").alias("confidence_score")))
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
+@query("""with x as (select case when doc_id % 3 > 0 then lang end as tw, case when doc_id % 4 = 0 then 'en' else lang end as w, n_chars / 1000.0::double as y from documents)
+select round((count(*) filter (tw = w))::double / count(tw), 6) as ward_accuracy, round(avg(y), 4) as mean_proximity, round(avg(2 * y), 4) as mean_time_ms from x""")
+def accuracy_of_wards(t: Tables) -> DataFrame:
+    key, size = F.col("doc_id"), F.col("n_chars") / 1000.0
+    names = [F.lit(None).cast("string").alias(c) for c in ("truth_p", "truth_d", "p", "d")]
+    rows = t.documents.select(*names, F.when(key % 3 > 0, F.col("lang")).alias("truth_w"), F.when(key % 4 == 0, "en").otherwise(F.col("lang")).alias("w"), size.alias("confidence"), size.alias("proximity"), (2 * size).alias("time_ms"))
+    return review.accuracy(rows).select(F.round("ward_accuracy", 6).alias("ward_accuracy"), F.round("mean_proximity", 4).alias("mean_proximity"), F.round("mean_time_ms", 4).alias("mean_time_ms"))
+
+
+@query("""select s_suppkey, 'id' || s_suppkey as place_id, s_name as place_name, s_suppkey::double / 2 as lat, case when s_suppkey % 2 = 0 then 'A' || s_nationkey end as area_1, 'B' as area_2, null::varchar as area_3 from supplier where s_suppkey % 3 <> 0""")
+def place_detail(t: Tables) -> DataFrame:
+    component = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit('{"long_name": "A'), F.col("s_nationkey").cast("string"), F.lit('", "types": ["administrative_area_level_1", "political"]}, '))).otherwise("")
+    status = F.when(F.col("s_suppkey") % 3 == 0, "NOT_FOUND").otherwise("OK")
+    answer = F.format_string('{"status": "%s", "result": {"place_id": "id%d", "name": "%s", "geometry": {"location": {"lat": %s, "lng": 1.5}}, "address_components": [%s{"long_name": "B", "types": ["administrative_area_level_2"]}]}}', status, "s_suppkey", "s_name", (F.col("s_suppkey") / 2).cast("string"), component)
+    return enrich.place_details(t.supplier.select("s_suppkey", answer.alias("answer"))).select("s_suppkey", "place_id", "place_name", "lat", "area_1", "area_2", "area_3")
+
+
+@query(GAZ + """, r as (select id, case when id % 3 = 0 then [] when id % 3 = 1 then [id] else [id, id + 1] end as l from dv)
+select id as raw_input, coalesce('p' || x, '') as new_province, '' as new_ward, coalesce('n' || x, '') as migration_note, 0.0::double as total_time_ms, 'failed' as quality_flag from (select id, unnest(case when len(l) = 0 then [null] else l end) as x from r)""")
+def results_by_new_address(t: Tables) -> DataFrame:
+    item = lambda x: F.struct(F.concat(F.lit("p"), x.cast("string")).alias("new_province"), F.lit(None).cast("string").alias("new_ward"), F.concat(F.lit("n"), x.cast("string")).alias("note"))
+    m, key = F.col("id") % 3, F.col("id")
+    news = F.transform(F.when(m == 1, F.array(key)).when(m == 2, F.array(key, key + 1)).otherwise(F.array().cast("array<int>")), item)
+    empty = [F.lit("").alias(c) for c in ("province", "district", "ward", "state_code", "county_code", "remaining_1", "remaining_2", "remaining_3")]
+    rows = divisions(t).select(key.alias("raw_input"), *empty, F.lit(0).alias("at_rule"), F.lit(0.0).alias("confidence"), F.lit("failed").alias("quality_flag"), news.alias("new_addresses"))
+    return writers.exploded(rows).select("raw_input", "new_province", "new_ward", "migration_note", "total_time_ms", "quality_flag")

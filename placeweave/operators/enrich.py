@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from placeweave.functions import text as T
 
 NOMINATIM = "struct<lat:string,lon:string,display_name:string,importance:double,address:map<string,string>>"
+DETAIL = "struct<status:string,result:struct<place_id:string,name:string,formatted_address:string,geometry:struct<location:struct<lat:double,lng:double>>,address_components:array<struct<long_name:string,short_name:string,types:array<string>>>>>"
 PLACES = "struct<status:string,predictions:array<struct<description:string,place_id:string,compound:struct<province:string,district:string,commune:string>>>>"
 # The answer's fields for each level, in order of preference.
 FIELDS = {
@@ -55,6 +56,25 @@ def place_candidates(df: DataFrame, answer: str = "answer") -> DataFrame:
     return rows.withColumn("at_rule", rule).withColumn("confidence", F.round(0.95 - 0.05 * F.col("at"), 2)).withColumn("place_rank", F.col("at") + 1).drop("at")
 
 
+def place_details(df: DataFrame, answer: str = "answer") -> DataFrame:
+    """Adds place_id, place_name, formatted_address, lat, lng and the components' long names by type (the first of each type) of
+    each OK answer; other answers, and those that are no JSON, give no row."""
+    rows = df.withColumn("a", F.from_json(answer, DETAIL)).where("a.status = 'OK' and a.result is not null")
+    parts = F.coalesce("a.result.address_components", F.array().cast("array<struct<long_name:string,short_name:string,types:array<string>>>"))
+    typed = F.flatten(F.transform(parts, lambda x: F.transform(F.coalesce(x["types"], F.array().cast("array<string>")), lambda t: F.struct(t.alias("type"), x["long_name"].alias("name")))))
+    first = lambda kind: F.try_element_at(F.filter(typed, lambda x: x["type"] == kind), F.lit(1))["name"]
+    levels = (("area_1", "administrative_area_level_1"), ("area_2", "administrative_area_level_2"), ("area_3", "administrative_area_level_3"))
+    fields = [F.col(f"a.result.{c}") for c in ("place_id", "formatted_address")]
+    point = [F.col(f"a.result.geometry.location.{c}") for c in ("lat", "lng")]
+    return rows.select(*df.columns, *fields, F.col("a.result.name").alias("place_name"), *point, *(first(kind).alias(c) for c, kind in levels))
+
+
+def enhanced(df: DataFrame, lookup: Callable[[str], str | None], address: str = "address", district: str = "district", province: str = "province", per_second: float = 1.0) -> DataFrame:
+    """The best place that ``lookup`` finds for each address with its candidate's district and province; none, no row."""
+    asked = df.withColumn("query", enriched_query(F.col(address), F.coalesce(district, F.lit("")), F.coalesce(province, F.lit(""))))
+    return place_candidates(enrich(asked, "query", lookup, per_second)).where("place_rank = 1")
+
+
 def enrich(df: DataFrame, query: str, lookup: Callable[[str], str | None], per_second: float = 1.0) -> DataFrame:
     """Adds ``answer``: what ``lookup`` returns for each query, at most so many calls a second and partition; errors give null."""
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["answer string"])

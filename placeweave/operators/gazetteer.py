@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from placeweave.functions import text as T
 from placeweave.plans.stages import small
 
 DIVISIONS = "id int, p string, d string, w string, p_full string, d_full string, w_full string, state_code string, county_code string"
@@ -45,6 +47,38 @@ def exact_match(rows: DataFrame, divisions: DataFrame, keys: tuple[str, ...]) ->
     return out.select(*rows.columns, *(F.when(F.lit(c.startswith("w") and "w" not in keys), None).otherwise(F.col(f"found.{c}")).alias(c) for c in divisions.columns if c not in keys))
 
 
+def lookup(rows: DataFrame, divisions: DataFrame, p: str = "p", d: str = "d", w: str = "w", out: str = "found") -> DataFrame:
+    """Adds the division with the smallest id that equals all that a row gives of province, district and ward: id, full names and codes.
+
+    Null and empty names are not given, numbers count without leading zeros. With fewer than two given, or none that fits, the
+    result is null; names of levels that are not given are null in it.
+    """
+    given = {level: F.nullif(F.trim(F.col(c)), F.lit("")) for level, c in zip(LEVELS, (p, d, w), strict=True)}
+    given |= {level: T.admin_number(given[level]) for level in ("d", "w")}
+    keyed, tags = rows.select("*", *(c.alias(f"own_{level}__") for level, c in given.items())), []
+    for keys in (("p", "d"), ("p", "w"), ("d", "w"), LEVELS):
+        tag = "by_" + "".join(keys) + "__"
+        names = (F.col(f"{c}_full") if c in keys else F.lit(None).cast("string") for c in LEVELS)
+        division = F.struct("id", *(n.alias(f"{c}_full") for c, n in zip(LEVELS, names, strict=True)), "state_code", "county_code")
+        least = divisions.dropna(subset=list(keys)).groupBy(*(F.col(k).alias(f"{tag}{k}") for k in keys)).agg(F.min_by(division, "id").alias(tag))
+        others = [F.col(f"own_{c}__").isNull() for c in LEVELS if c not in keys]
+        only = reduce(lambda a, b: a & b, others, F.lit(True))
+        keyed = keyed.join(small(least), [F.when(only, F.col(f"own_{k}__")) == F.col(f"{tag}{k}") for k in keys], "left")
+        tags.append(tag)
+    return keyed.select(*rows.columns, F.coalesce(*tags).alias(out))
+
+
+def scoped(rows: DataFrame, divisions: DataFrame, p: str = "p", d: str = "d") -> DataFrame:
+    """A row for each division within the province and district, as far as they are given, that a row of ``rows`` names, with the
+    division's columns as a struct ``division``. A row that gives neither has no scope and no rows here: its candidates are the whole
+    gazetteer, which nobody needs once for each row."""
+    dim = divisions.select(F.col("p").alias("p__"), F.col("d").alias("d__"), F.struct(*divisions.columns).alias("division"))
+    has_p, has_d = (F.coalesce(F.trim(F.col(c)) != "", F.lit(False)) for c in (p, d))
+    same_p, same_d = F.col(p) == F.col("p__"), F.col(d) == F.col("d__")
+    both = rows.where(has_p & has_d).join(dim, same_p & same_d)
+    return both.union(rows.where(has_p & ~has_d).join(dim, same_p)).union(rows.where(~has_p & has_d).join(dim, same_d)).drop("p__", "d__")
+
+
 def validity(rows: DataFrame, divisions: DataFrame, p: str = "p", d: str = "d", w: str = "w", out: str = "valid") -> DataFrame:
     """Flags rows whose (p), (p, d) or (p, d, w), as far as they are given, exist; false without a province."""
     sets = []
@@ -95,6 +129,17 @@ def abbreviation_map(abbreviations: DataFrame, province: str | None = None, dist
     return words.groupBy("key").agg(F.max_by("word", "rank").alias("word"))
 
 
+def abbreviations_by_province(abbreviations: DataFrame) -> DataFrame:
+    """(context, words, phrases) for each province context, and for null the global ones that have one meaning: abbreviations of one
+    word as a map, those of several as an array<struct<key, word>>. Those of a district are left out."""
+    a = abbreviations.where("district_context is null and key is not null and word is not null")
+    words = a.groupBy(F.col("province_context").alias("context"), "key").agg(F.min("word").alias("word"), F.countDistinct("word").alias("n"))
+    words = words.where("context is not null or n = 1").withColumn("several", F.contains("key", F.lit(" ")))
+    pair = F.struct("key", "word")
+    lists = words.groupBy("context").agg(F.collect_list(F.when(~F.col("several"), pair)).alias("one"), F.array_sort(F.collect_list(F.when(F.col("several"), pair))).alias("phrases"))
+    return lists.select("context", F.map_from_entries("one").alias("words"), "phrases")
+
+
 def abbreviation_at(rows: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """Lookup of (key, province_context, district_context), nulls equal."""
     a = abbreviations.groupBy("key", "province_context", "district_context").agg(F.min("word").alias("word")).alias("a")

@@ -227,6 +227,12 @@ def resolve(df: DataFrame, gaz: G.Gazetteer, address: str = "address", province_
     )
 
 
+def validated(cands: DataFrame) -> DataFrame:
+    """Per row: the first of its ranked candidates (``cand_rank``), how many there are, and whether all of them are valid (null counts as not)."""
+    best = F.min_by(F.struct(*(c for c in cands.columns if c != "row_id")), "cand_rank")
+    return cands.groupBy("row_id").agg(best.alias("best"), F.count("*").alias("candidates"), F.bool_and(F.coalesce("valid", F.lit(False))).alias("all_valid"))
+
+
 def match_summary(cands: DataFrame) -> DataFrame:
     """Best candidate and the distinct names of each level in the order they came, per row."""
     def names(c: str) -> Column:

@@ -28,6 +28,11 @@ def average_by_rating(df: DataFrame, rating: str = "user_rating", value: str = "
     return every.join(F.broadcast(means), rating, "left").select(rating, F.coalesce("mean", F.lit(0.0)).alias("mean"))
 
 
+def conditional_averages(df: DataFrame, rating: str = "user_rating", value: str = "confidence_score") -> DataFrame:
+    """One row with the mean value of each rating; null for ratings without one."""
+    return df.agg(*(F.avg(F.when(F.col(rating) == r, F.col(value))).alias(f"mean_{r}") for r in RATINGS))
+
+
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page of rows in order with the total and whether more follow."""
     if not 1 <= limit <= 500 or offset < 0:
@@ -70,6 +75,11 @@ def sample(df: DataFrame, n: int, seed: int, where: Column | None = None) -> Dat
     return (df if where is None else df.where(where)).orderBy(F.rand(seed)).limit(n)
 
 
+def rated(df: DataFrame, ratings: list[int], n: int, seed: int, rating: str = "user_rating") -> DataFrame:
+    """A seeded random sample of n rows with one of these ratings, to be processed again."""
+    return sample(df, n, seed, F.col(rating).isin(ratings))
+
+
 def sessions(log: DataFrame, session: str = "session_id", rating: str = "user_rating", at: str = "ts") -> DataFrame:
     """Per session: start, end, reviews, counts by rating and the share of ratings 1 and 2 in percent."""
     good = F.count_if(F.col(rating).isin(1, 2))
@@ -78,7 +88,9 @@ def sessions(log: DataFrame, session: str = "session_id", rating: str = "user_ra
 
 
 def accuracy(df: DataFrame) -> DataFrame:
-    """One row over (truth_p, truth_d, p, d, confidence): accuracy by level among rows whose truth is known, and mean confidence."""
+    """One row over (truth_p, truth_d, p, d, confidence): accuracy by level among rows whose truth is known, and mean confidence.
+
+    With columns truth_w and w, the ward's accuracy as well; with proximity or time_ms, their means."""
     tp, td = F.col("truth_p").isNotNull(), F.col("truth_d").isNotNull()
     same_p, same_d = F.col("p") == F.col("truth_p"), F.col("d") == F.col("truth_d")
     full = F.count_if(tp & td & same_p & same_d)
@@ -88,6 +100,8 @@ def accuracy(df: DataFrame) -> DataFrame:
         ratio(F.count_if(td & same_d), F.count_if(td)).alias("district_accuracy"),
         ratio(full, F.count_if(tp & td)).alias("full_accuracy"),
         F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence"),
+        *([ratio(F.count_if(F.col("w") == F.col("truth_w")), F.count("truth_w")).alias("ward_accuracy")] if "truth_w" in df.columns else []),
+        *(F.coalesce(F.avg(c), F.lit(0.0)).alias(f"mean_{c}") for c in ("proximity", "time_ms") if c in df.columns),
     )
 
 

@@ -58,6 +58,24 @@ def hierarchy(segs: DataFrame, provinces: DataFrame, row_id: str = "row_id") ->
     return out.select(row_id, "ward", "district", "province", F.least(F.greatest(score, F.lit(0.0)), F.lit(0.95)).alias("confidence"))
 
 
+def as_candidates(parsed: DataFrame, divisions: DataFrame, method: str = "comma") -> DataFrame:
+    """Parsed addresses (row_id, province, district, ward, confidence) as candidates of the resolver's form.
+
+    Only rows whose province, and whose district and ward as far as they have them, the gazetteer knows become candidates; null and
+    empty names are names that a row does not have.
+    """
+    named = parsed.select("row_id", "confidence", *(F.nullif(F.col(c), F.lit("")).alias(k) for k, c in (("p", "province"), ("d", "district"), ("w", "ward"))))
+    rows = G.full_names(named, divisions)
+    known = lambda c: F.col(c).isNull() | (F.col(f"{c}_full") != "")
+    rows = rows.where((F.col("p_full") != "") & known("d") & known("w"))
+    level = 1 + F.col("d").isNotNull().cast("int") + F.col("w").isNotNull().cast("int")
+    scores = [F.when(F.col(c).isNotNull(), score).otherwise(0.0).alias(f"{c}_score") for c, score in (("p", 1.0), ("d", 0.95), ("w", 0.95))]
+    return rows.select(
+        "row_id", "p", "d", "w", "p_full", "d_full", "w_full", *scores, level.alias("match_level"), level.alias("at_rule"), F.lit(f"structural_{method}").alias("source"),
+        F.lit("exact").alias("match_type"), F.lit(True).alias("valid"), "confidence", F.col("confidence").alias("final_confidence"),
+    )
+
+
 def disambiguate(names: DataFrame, divisions: DataFrame, row_id: str = "row_id") -> DataFrame:
     """Each (row, province, name) whose name is a district's and a ward's: read as the district, and as a ward of up to three districts."""
     both = G.ambiguous_names(divisions).select("name")

@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeweave.operators.context import iterative
 from placeweave.operators.gazetteer import Gazetteer
 from placeweave.operators.matching import street_lookup
 from placeweave.operators.resolve import resolve
@@ -15,15 +16,41 @@ from placeweave.sources import readers, writers
 
 
 class AddressPipeline:
-    """Resolves addresses against one gazetteer; statistics follow from what it returned."""
+    """Resolves addresses against one gazetteer.
+
+    ``process`` counts what it returned; a batch's rows are counted when its caller says so (``count``), as its frame is lazy."""
 
     def __init__(self, gazetteer: Gazetteer, strict_compat: bool = False):
         self.gazetteer, self.strict_compat = gazetteer, strict_compat
+        self.reset_stats()
+
+    def reset_stats(self) -> None:
+        self._total = self._success = 0
+
+    def get_stats(self) -> dict[str, float]:
+        rate = self._success / self._total if self._total else 0.0
+        return {"total_processed": self._total, "successful": self._success, "failed": self._total - self._success, "success_rate": rate}
+
+    def count(self, results: DataFrame) -> DataFrame:
+        """Adds the rows of a batch's results to the statistics; returns them."""
+        found = status_counts(results).first()
+        self._total, self._success = self._total + found["total"], self._success + found["success"]
+        return results
+
+    def preprocess(self, df: DataFrame, address: str = "address", province_hint: str | None = None, district_hint: str | None = None) -> DataFrame:
+        """Adds the normalised address, made in up to two passes, and its context."""
+        return iterative(df, self.gazetteer.abbreviations, address, province_hint, district_hint)
 
     def process(self, raw: str | None, province_known: str | None = None, district_known: str | None = None) -> dict:
+        """One address. What goes wrong becomes the status ``error`` with its message, as in a batch one row must not fail the others."""
         spark = self.gazetteer.divisions.sparkSession
-        df = spark.createDataFrame([(0, raw, province_known, district_known)], "row_id long, address string, hp string, hd string")
-        return resolve(df, self.gazetteer, province_hint="hp", district_hint="hd", strict_compat=self.strict_compat).first().asDict(True)
+        try:
+            df = spark.createDataFrame([(0, raw, province_known, district_known)], "row_id long, address string, hp string, hd string")
+            out = resolve(df, self.gazetteer, province_hint="hp", district_hint="hd", strict_compat=self.strict_compat).first().asDict(True)
+        except Exception as e:  # noqa: BLE001
+            out = {"row_id": 0, "raw_input": raw, "status": "error", "error": f"{type(e).__name__}: {e}", "quality_flag": "failed"}
+        self._total, self._success = self._total + 1, self._success + (out["status"] == "success")
+        return out
 
     def process_batch(self, df: DataFrame, **columns: str) -> DataFrame:
         return resolve(df, self.gazetteer, strict_compat=self.strict_compat, **columns)
@@ -63,10 +90,17 @@ def main(argv: list[str] | None = None) -> None:
     cli.add_argument("-i", "--input")
     cli.add_argument("-o", "--output")
     cli.add_argument("--json", action="store_true")
+    cli.add_argument("--parts", help="columns of an address in a Parquet input, joined by commas")
+    cli.add_argument("--limit", type=int, help="rows of a Parquet input")
+    cli.add_argument("--workers", type=int, help="shuffle partitions")
     args = cli.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
+    if args.workers:
+        spark.conf.set("spark.sql.shuffle.partitions", args.workers)
     gaz = Gazetteer.of(spark.read.parquet(args.gazetteer))
-    if args.address:
+    if args.parts:
+        run_parquet(spark, gaz, args.input, args.output, args.parts.split(","), args.limit)
+    elif args.address:
         df = spark.createDataFrame([(0, args.address)], "row_id long, address string")
         out = resolve(df, gaz)
         print(writers.as_json(out).first()[0] if args.json else out.first())

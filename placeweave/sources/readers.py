@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def snapshots_csv(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.option("header", True).option("enforceSchema", False).csv(pattern)
 
 
+def snapshots_of(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """The snapshot files of several globs whose headers may differ: columns that some lack are null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (snapshots_csv(spark, p) for p in patterns))
+
+
 def tree_json(spark: SparkSession, path: str) -> DataFrame:
     """The gazetteer tree, a JSON object per line or file."""
     return spark.read.schema(TREE).option("multiLine", True).json(path)
@@ -45,6 +52,12 @@ def select(spark: SparkSession, sql: str, **args: object) -> DataFrame:
     return spark.sql(sql, args=args)
 
 
+def first_row(spark: SparkSession, sql: str, **args: object) -> dict | None:
+    """The first row of a parameterised query as a dict; None without one."""
+    found = select(spark, sql, **args).limit(1).collect()
+    return found[0].asDict(True) if found else None
+
+
 def links_and_cells(df: DataFrame, html: str = "html") -> DataFrame:
     """Raw pages: title, number of links and of table cells, and the text without tags."""
     text = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " "), r"(?s)<[^>]*>", " ")
