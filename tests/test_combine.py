@@ -62,7 +62,7 @@ def coverage(tokens, ward, rest):
     runs = sum(i - 1 not in at for i in at)
     weighted = sum(2 if t in w else 1 if t in other else 0 for t in tokens) / (2 * len(tokens))
     score = min(1.0, max(0.0, 0.4 * ratio + 0.3 * (1 / runs if runs else 0.0) + 0.3 * weighted))
-    return next((value for least, value in K.COVERAGE_STEPS if score >= least - 1e-12), K.COVERAGE_STEPS[-1][1])
+    return next((value for least, value in K.COVERAGE_STEPS if score >= least), K.COVERAGE_STEPS[-1][1])
 
 
 def plain(text, tokens, options):
