@@ -239,3 +239,89 @@ def results_by_new_address(t: Tables) -> DataFrame:
     empty = [F.lit("").alias(c) for c in ("province", "district", "ward", "state_code", "county_code", "remaining_1", "remaining_2", "remaining_3")]
     rows = divisions(t).select(key.alias("raw_input"), *empty, F.lit(0).alias("at_rule"), F.lit(0.0).alias("confidence"), F.lit("failed").alias("quality_flag"), news.alias("new_addresses"))
     return writers.exploded(rows).select("raw_input", "new_province", "new_ward", "migration_note", "total_time_ms", "quality_flag")
+
+
+@query("""select p_partkey, len(list_filter(w[1:2], lambda x: x in ('ubnd', 'phong', 'ban', 'so', 'truong', 'vien', 'bo'))) > 0 as noise
+from (select p_partkey, string_split(case p_partkey % 4 when 0 then 'ubnd ' || p_name when 1 then p_name || ' truong' when 2 then 'ubndx ' || p_name else 'a so ' || p_name end, ' ') as w from part)""")
+def noise_words_in_span(t: Tables) -> DataFrame:
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    text = F.when(k == 0, F.concat(F.lit("ubnd "), name)).when(k == 1, F.concat(name, F.lit(" truong"))).when(k == 2, F.concat(F.lit("ubndx "), name)).otherwise(F.concat(F.lit("a so "), name))
+    return t.part.select("p_partkey", N.has_noise(F.slice(N.words(text), 1, 2)).alias("noise"))
+
+
+@query("""with x as (select event_id, (event_id % 5 - 1)::int as a, (event_id % 3)::int as n, (user_id % 4)::int as b from events)
+select event_id, array_to_string(list_sort(list_distinct(list_concat(case when a >= 0 then range(a, a + n) else [] end, range(b, b + 2)))), ',') as places from x""")
+def union_of_spans(t: Tables) -> DataFrame:
+    a, n, b = ((F.col(c) % m + o).cast("int") for c, m, o in (("event_id", 5, -1), ("event_id", 3, 0), ("user_id", 4, 0)))
+    places = F.transform(F.array_sort(N.covered([(a, a + n), (b, b + 2)])), lambda x: x.cast("string"))
+    return t.events.select("event_id", F.array_join(places, ",").alias("places"))
+
+
+ASKED = """with x as (select s_suppkey, case s_suppkey % 3 when 0 then s_name || ' ' || n_name when 1 then s_name || ' ' || r_name else s_name end as a,
+  case when s_suppkey % 5 = 0 then '' else n_name end as d, r_name as p from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
+
+
+@query(ASKED + """ select s_suppkey, a || case when d <> '' and not contains(a, d) then ', ' || d else '' end || case when contains(a, p) then '' else ', ' || p end as asked,
+  case p when 'ASIA' then '1,2,3,4' when 'EUROPE' then '5,6,7,8' else '0,0,9,9' end as box from x""")
+def geocoder_query(t: Tables) -> DataFrame:
+    k = F.col("id") % 3
+    address = F.when(k == 0, F.concat_ws(" ", "w_full", "d_full")).when(k == 1, F.concat_ws(" ", "w_full", "p_full")).otherwise(F.col("w_full"))
+    district = F.when(F.col("id") % 5 == 0, "").otherwise(F.col("d_full"))
+    box = enrich.bounding_box(F.col("p_full"), {"ASIA": "1,2,3,4", "EUROPE": "5,6,7,8"}, "0,0,9,9")
+    return divisions(t).select(F.col("id").cast("long").alias("s_suppkey"), enrich.enriched_query(address, district, F.col("p_full")).alias("asked"), box.alias("box"))
+
+
+@query("select doc_id, case when doc_id = 5 then 3 else quality end::int as user_rating from labels")
+def rating_of_one_changed(t: Tables) -> DataFrame:
+    changed = review.update_rating(t.labels.select("doc_id", F.col("quality").cast("int").alias("user_rating")), 5, 3, key="doc_id")
+    return changed.select("doc_id", "user_rating")
+
+
+@query("""select c_custkey, case c_custkey % 5 when 0 then lower(c_mktsegment) when 1 then 'ha noi' when 3 then (c_custkey % 30)::varchar end as hint from customer""")
+def hints_normalized(t: Tables) -> DataFrame:
+    k, segment = F.col("c_custkey") % 5, F.col("c_mktsegment")
+    number = (F.col("c_custkey") % 30).cast("string")
+    raw = F.when(k == 0, F.concat(F.lit(" Tỉnh  "), segment)).when(k == 1, "THÀNH PHỐ Hà Nội").when(k == 2, " / ").when(k == 3, F.concat(F.lit("Q."), number)).otherwise("Quận ")
+    return t.customer.select("c_custkey", F.when(k != 4, T.normalize_hint(raw)).alias("hint"))
+
+
+PIECES = GAZ + """, x as (select id as row_id, id % 4 as k, id % 20 + 1 as n, p, d from dv)"""
+
+
+def _lines(t: Tables) -> DataFrame:
+    """Addresses in pieces with level words and without; a third kind without commas, a fourth that is noise."""
+    k = F.col("id") % 4
+    named = F.concat(F.lit("Phuong An  Phu , Quan "), F.col("id") % 20 + 1, F.lit(", Tinh "), F.col("p_full"))
+    bare = F.concat(F.lit("so 5, p. An Lac, "), "d", F.lit(", "), "p")
+    text = F.when(k == 0, named).when(k == 1, bare).when(k == 2, F.concat_ws(" ", "d", "p")).otherwise(F.concat(F.lit("UBND "), "d", F.lit(", "), "p"))
+    return divisions(t).select(F.col("id").alias("row_id"), text.alias("text"))
+
+
+@query(PIECES + """ select row_id, 0 as position, 'ward' as level, 'an phu' as name, 0.4::double as boost from x where k = 0
+union all select row_id, 1, 'district', n::varchar, 0.45 from x where k = 0 union all select row_id, 2, 'province', p, 0.5 from x where k = 0
+union all select row_id, 0, 'unknown', 'so 5', 0.1 from x where k = 1 union all select row_id, 1, 'ward', 'an lac', 0.43 from x where k = 1
+union all select row_id, 2, 'unknown', d, 0.17 from x where k = 1 union all select row_id, 3, 'unknown', p, 0.2 from x where k = 1""")
+def structural_segments(t: Tables) -> DataFrame:
+    return structural.segments(_lines(t)).select("row_id", "position", "level", "name", "boost")
+
+
+@query(PIECES + """ select row_id, 'an phu' as ward, n::varchar as district, p as province, 0.95::double as confidence from x where k = 0
+union all select row_id, 'an lac', d, case when p <> 'asia' then p end, case when p <> 'asia' then 0.6 else 0.5 end from x where k = 1""")
+def structural_hierarchy(t: Tables) -> DataFrame:
+    known = divisions(t).select("p").where("p <> 'asia'")
+    return structural.hierarchy(structural.segments(_lines(t)), known).select("row_id", "ward", "district", "province", F.round("confidence", 6).alias("confidence"))
+
+
+@query("""select s_suppkey::int as row_id, array_to_string(list_transform(string_split(r_name, ' '), lambda x: upper(x[1]) || lower(substr(x, 2))), ' ') as province,
+  upper(n_name[1]) || lower(substr(n_name, 2)) as district, s_name as ward, 3 as at_rule, 'success' as status
+from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey""")
+def resolve_fuzzy_flagship(t: Tables) -> DataFrame:
+    """Wards, with a mistyped district, a mistyped province, 70 words before, no province, or a hint in its place."""
+    k = F.col("id") % 6
+    ward = F.concat(F.lit("phuong "), "w")
+    district = F.concat(F.lit(", quan "), F.when(k == 1, F.replace("d", F.lit("nation"), F.lit("natiion"))).otherwise(F.col("d")))
+    province = F.when(k < 4, F.concat(F.lit(", tinh "), "p", F.when(k == 2, F.substr("p", F.length("p"))).otherwise(""))).otherwise("")
+    before = F.when(k == 3, F.repeat(F.lit("dat trong "), 35)).otherwise("12 duong hoa, ")
+    rows = divisions(t).select(F.col("id").alias("row_id"), F.concat(before, ward, district, province).alias("address"), F.when(k == 5, F.concat(F.lit("Tỉnh "), "p_full")).alias("hint"))
+    out = resolve.resolve(rows, G.Gazetteer.of(divisions(t)), province_hint="hint")
+    return out.select("row_id", "province", "district", "ward", "at_rule", "status")
