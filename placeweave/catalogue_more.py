@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placeweave.catalogue import GAZ, Tables, divisions, query
+from placeweave.catalogue import ABBR, GAZ, Tables, divisions, query
 from placeweave.functions import scoring as C
 from placeweave.functions import similarity as S
 from placeweave.functions import text as T
@@ -325,3 +325,22 @@ def resolve_fuzzy_flagship(t: Tables) -> DataFrame:
     rows = divisions(t).select(F.col("id").alias("row_id"), F.concat(before, ward, district, province).alias("address"), F.when(k == 5, F.concat(F.lit("Tỉnh "), "p_full")).alias("hint"))
     out = resolve.resolve(rows, G.Gazetteer.of(divisions(t)), province_hint="hint")
     return out.select("row_id", "province", "district", "ward", "at_rule", "status")
+
+
+@query("""with x as (select o_orderkey, case o_orderkey % 3 when 0 then 'hn' when 1 then 'tx' else 'db' end as key, case o_orderkey % 4 when 0 then null when 1 then 'ha nam' else 'ha noi' end as p, case o_orderkey % 4 when 3 then 'ba dinh' end as d from orders)
+select o_orderkey, case when key = 'hn' and p is null then 'ha noi' when key = 'hn' and p = 'ha nam' then 'ha nam' when key = 'tx' and p = 'ha noi' and d is null then 'thanh xuan' when key = 'db' and p is null then 'dien bien' when key = 'db' and d = 'ba dinh' then 'dien ban' end as word from x""")
+def abbreviation_at_context(t: Tables) -> DataFrame:
+    k, m = F.col("o_orderkey") % 3, F.col("o_orderkey") % 4
+    province = F.when(m == 1, "ha nam").when(m != 0, "ha noi").alias("province_context")
+    rows = t.orders.select("o_orderkey", F.when(k == 0, "hn").when(k == 1, "tx").otherwise("db").alias("key"), province, F.when(m == 3, "ba dinh").alias("district_context"))
+    return G.abbreviation_at(rows, t.spark.createDataFrame(ABBR, G.ABBREVIATIONS)).select("o_orderkey", "word")
+
+
+@query(GAZ + """, x as (select id as row_id, case when id % 7 = 6 then p || ' x' else p end as p, case when id % 4 > 0 then d end as d, case when id % 4 > 1 then case when id % 4 = 3 then w else w || ' x' end end as w from dv)
+select row_id, case when row_id % 7 = 6 then '' else p_full end as p_full, case when row_id % 7 <> 6 and row_id % 4 > 0 then d_full else '' end as d_full, case when row_id % 7 <> 6 and row_id % 4 = 3 then w_full else '' end as w_full
+from x join (select id as row_id, p_full, d_full, w_full from dv) using (row_id)""")
+def full_names_of_known(t: Tables) -> DataFrame:
+    k = F.col("id") % 4
+    ward = F.when(k == 3, F.col("w")).when(k == 2, F.concat("w", F.lit(" x")))
+    rows = divisions(t).select(F.col("id").alias("row_id"), F.when(F.col("id") % 7 == 6, F.concat("p", F.lit(" x"))).otherwise(F.col("p")).alias("p"), F.when(k > 0, F.col("d")).alias("d"), ward.alias("w"))
+    return G.full_names(rows, divisions(t)).select("row_id", "p_full", "d_full", "w_full")
