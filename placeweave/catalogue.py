@@ -16,6 +16,7 @@ from placeweave.functions import tokens as N
 from placeweave.operators import enrich, matching, review, snapshots
 from placeweave.operators import gazetteer as G
 from placeweave.operators.resolve import resolve
+from placeweave.plans.stages import small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,7 +52,7 @@ def divisions(t: Tables, all_nations: bool = False) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    people = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    people = t.customer.join(small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
     people = people.select(F.col("c_custkey").alias("row_id"), F.concat("c_name", F.lit(", quan "), F.translate("n_name", "_", " "), F.lit(", tinh "), "r_name").alias("address"))
     out = resolve(people, G.Gazetteer.of(divisions(t, True)))
     return out.select("row_id", "province", "district", "at_rule", F.round("confidence", 6).alias("confidence"), "quality_flag")
@@ -132,7 +133,7 @@ def title_case_full_name(t: Tables) -> DataFrame:
 
 @query("select s_suppkey, concat_ws(', ', s_name, nullif(n_name, 'NATION_3'), r_name) as line from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def concat_nonempty_parts(t: Tables) -> DataFrame:
-    rows = t.supplier.join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = t.supplier.join(small(t.nation), F.col("s_nationkey") == F.col("n_nationkey")).join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.select("s_suppkey", T.concat_nonempty(F.col("s_name"), F.when(F.col("n_name") == "NATION_3", " ").otherwise(F.col("n_name")), F.lit(""), F.col("r_name")).alias("line"))
 
 
@@ -198,27 +199,32 @@ def remaining_tokens(t: Tables) -> DataFrame:
 
 
 NAMES = "with n as (select distinct p_name as a from part)"
+PAIRS = "with x as (select x.p_partkey, x.p_name as a, y.p_name as b from part x join part y on y.p_partkey = x.p_partkey + 1)"
 
 
 def _name_pairs(t: Tables) -> DataFrame:
-    names = t.part.select(F.col("p_name").alias("a")).distinct()
-    return names.crossJoin(F.broadcast(names.withColumnRenamed("a", "b")))
+    """Each part's name with that of the next part: as many pairs as parts."""
+    after = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b"))
+    return t.part.select("p_partkey", F.col("p_name").alias("a")).join(after, "p_partkey")
 
 
-@query(NAMES + " select x.a, y.a as b, levenshtein(x.a, y.a)::int as d, case when x.a = y.a then 1.0 else round(1 - levenshtein(x.a, y.a)::double / greatest(length(x.a), length(y.a)), 6) end::double as sim from n x, n y")
+@query(PAIRS + " select p_partkey, levenshtein(a, b)::int as d, case when a = b then 1.0 else round(1 - levenshtein(a, b)::double / greatest(length(a), length(b)), 6) end::double as sim from x")
 def levenshtein_similarity(t: Tables) -> DataFrame:
-    return _name_pairs(t).select("a", "b", S.distance(F.col("a"), F.col("b")).alias("d"), F.round(S.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+    return _name_pairs(t).select("p_partkey", S.distance(F.col("a"), F.col("b")).alias("d"), F.round(S.similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
-@query(NAMES + " select x.a, y.a as b, round(len(list_intersect(string_split(x.a, ' '), string_split(y.a, ' ')))::double / len(list_distinct(list_concat(string_split(x.a, ' '), string_split(y.a, ' ')))), 6) as j from n x, n y")
+@query(PAIRS + " select p_partkey, round(len(list_intersect(string_split(a, ' '), string_split(b, ' ')))::double / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))), 6) as j from x")
 def token_jaccard(t: Tables) -> DataFrame:
-    return _name_pairs(t).select("a", "b", F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("j"))
+    return _name_pairs(t).select("p_partkey", F.round(S.jaccard(F.col("a"), F.col("b")), 6).alias("j"))
 
 
-@query(NAMES + """, w as (select distinct split_part(p_name, ' ', 2) as b from part) select a, b, round(least(1, 1 - levenshtein(a, b)::double / greatest(length(a), length(b)) + case when length(b) >= 5 and contains(a, b) then 0.25 else 0 end), 6)::double as score from n, w""")
+@query(PAIRS + """, y as (select p_partkey, a, case when p_partkey % 3 = 0 then b else split_part(case when p_partkey % 3 = 1 then a else b end, ' ', 2) end as b from x)
+select p_partkey, round(least(1, 1 - levenshtein(a, b)::double / greatest(length(a), length(b)) + case when length(b) >= 5 and contains(a, b) then 0.25 else 0 end), 6)::double as score from y""")
 def ensemble_fuzzy(t: Tables) -> DataFrame:
-    words = t.part.select(F.split("p_name", " ")[1].alias("b")).distinct()
-    return t.part.select(F.col("p_name").alias("a")).distinct().crossJoin(F.broadcast(words)).select("a", "b", F.round(S.ensemble(F.col("a"), F.col("b")), 6).alias("score"))
+    """Names against the next part's name, against their own second word and against the next name's."""
+    k = F.col("p_partkey") % 3
+    other = F.when(k == 0, F.col("b")).otherwise(F.split_part(F.when(k == 1, F.col("a")).otherwise(F.col("b")), F.lit(" "), F.lit(2)))
+    return _name_pairs(t).select("p_partkey", F.round(S.ensemble(F.col("a"), other), 6).alias("score"))
 
 
 @query(NAMES + ", t as (select a, unnest(string_split(a, ' ')) as k from n) select x.a, y.a as b, count(*) as shared from t x join (select distinct * from t) y using (k) group by 1, 2")
@@ -255,7 +261,7 @@ def street_lookup_exact_then_fuzzy(t: Tables) -> DataFrame:
 @query(GAZ + " select c_custkey, arg_min(w_full, id) as w_full, min(id)::int as id from (select c_custkey, dv.* from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey left join dv on dv.p = lower(r_name) and dv.d = lower(replace(n_name, '_', ' '))) group by 1")
 def exact_gazetteer_lookup(t: Tables) -> DataFrame:
     least = divisions(t).groupBy("p", "d").agg(F.min_by("w_full", "id").alias("w_full"), F.min("id").alias("id"))
-    people = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    people = t.customer.join(small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
     return people.select("c_custkey", T.finalize(F.col("r_name"), True).alias("p"), T.finalize(F.col("n_name"), True).alias("d")).join(least, ["p", "d"], "left").select("c_custkey", "w_full", "id")
 
 
