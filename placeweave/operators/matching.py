@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from placeweave.functions import similarity as S
 from placeweave.operators.gazetteer import postings
+from placeweave.plans.stages import staged
 
 
 def token_overlap(queries: DataFrame, names: DataFrame, query: str, name: str, least: int = 1, scope: tuple[str, ...] = ()) -> DataFrame:
@@ -40,13 +41,26 @@ def best_matches(queries: DataFrame, names: DataFrame, scope: tuple[str, ...], n
 
 def street_lookup(rows: DataFrame, streets: DataFrame, text: str = "text", threshold: float = 0.9) -> DataFrame:
     """The street of each row (keyed by row_id) within its district, or its province if the district is null: equal, else the most
-    similar at or above the threshold, the smallest id first among equals."""
-    by_district = rows.where("d is not null").join(streets.select("p", "d", "street", "id"), ["p", "d"])
-    by_province = rows.where("d is null").drop("d").join(streets.select("p", "street", "id"), "p")
-    pairs = by_district.select("row_id", text, "street", "id").union(by_province.select("row_id", text, "street", "id"))
-    scored = pairs.withColumn("score", F.when(F.col(text) == F.col("street"), 1.0).otherwise(S.ensemble(F.col(text), F.col("street")))).where(F.col("score") >= threshold)
-    first = scored.withColumn("r", F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc(F.col(text) == F.col("street")), F.desc("score"), "id"))).where("r = 1")
-    return rows.join(first.select("row_id", "street", F.col("score").alias("street_score")), "row_id", "left")
+    similar at or above the threshold, the smallest id first among equals.
+
+    Each distinct (province, district, text) is looked up once; only those without an equal street meet the others of their scope,
+    and of these only such as can reach the threshold are scored. Null texts and provinces find nothing.
+    """
+    named = streets.where("d is not null").groupBy("p", "d", "street").agg(F.min("id").alias("id"))
+    whole = streets.groupBy("p", "street").agg(F.min("id").alias("id")).withColumn("d", F.lit(None).cast("string"))
+    dim = named.unionByName(whole).withColumnsRenamed({"p": "p__", "d": "d__"})
+    asked = rows.select("p", "d", F.col(text).alias("text__")).distinct()
+    scope = (F.col("p") == F.col("p__")) & F.col("d").eqNullSafe(F.col("d__"))
+    low = lambda c: F.lower(F.trim(c))
+    exact = asked.join(dim, scope & (F.col("text__") == F.col("street")), "left").select("p", "d", "text__", "street", F.when(F.col("street").isNotNull(), 1.0).alias("street_score"))
+    exact = staged(exact, "streets")
+    near = exact.where("street is null").drop("street").join(dim, scope & S.within(low("text__"), low("street"), threshold))
+    near = near.withColumn("street_score", S.ensemble(F.col("text__"), F.col("street"))).where(F.col("street_score") >= threshold)
+    best = near.groupBy("p", "d", "text__").agg(F.min_by(F.struct("street", "street_score"), F.struct(-F.col("street_score"), F.col("id"))).alias("best"))
+    found = exact.where("street is not null").unionByName(best.select("p", "d", "text__", "best.*"))
+    found = found.withColumnsRenamed({"p": "p__", "d": "d__"})
+    same = F.col("p").eqNullSafe(F.col("p__")) & F.col("d").eqNullSafe(F.col("d__")) & (F.col(text) == F.col("text__"))
+    return rows.join(found, same, "left").select(*rows.columns, "street", "street_score")
 
 
 def longest_first(pairs: DataFrame, by: str, name: str, score: str, place: str = "place") -> DataFrame:
