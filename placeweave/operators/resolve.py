@@ -83,7 +83,7 @@ def provinces(rows: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     abbr = abbr.select("row_id", F.col("word").alias("p"), F.when(F.col("s") >= F.col("len") - 3, 0.95).otherwise(0.85).alias("p_score"), F.lit("abbreviation").alias("p_source"), F.col("s").alias("ps"), F.col("e").alias("pe"))
     full = free.where(~F.col("ngram").rlike(r"^\d+$") & ~F.arrays_overlap(F.split("ngram", " "), F.array(*map(F.lit, K.NOISE_WORDS)))).withColumn("one", F.lit(1))
     full = full.withColumn("mult", F.when(F.col("e") == F.col("len"), F.greatest(F.lit(1.0), N.delimiter_score(F.col("seg"), F.col("s"), F.col("e")))).otherwise(N.delimiter_score(F.col("seg"), F.col("s"), F.col("e"))))
-    hits = best_matches(full, dims, ("one",), extra=F.col("mult"))
+    hits = best_matches(full, small(dims), ("one",), extra=F.col("mult"))
     found = full.join(hits, ["one", "ngram", "mult"]).select("row_id", F.col("match").alias("p"), F.col("score").alias("p_score"), F.when(F.col("e") == F.col("len"), "rightmost").otherwise("full_scan").alias("p_source"), F.col("s").alias("ps"), F.col("e").alias("pe"))
     rank = F.element_at(F.create_map(*(F.lit(x) for pair in (("known_and_in_text", 4), ("known", 3), ("abbreviation", 2), ("rightmost", 1), ("full_scan", 0)) for x in pair)), F.col("p_source"))
     both = known.union(abbr).union(found).withColumn("rank", rank)
@@ -97,7 +97,7 @@ def inferred_provinces(rows: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     """Provinces of districts that rows without any province name: the same columns, no span."""
     dims = gaz.names("d").select(F.col("d").alias("name")).distinct().withColumn("one", F.lit(1))
     grams = _exploded(rows, "tokens", ["row_id"]).where((F.length("ngram") >= 3) & ~F.col("ngram").rlike(r"^\d+$")).withColumn("one", F.lit(1))
-    hits = grams.join(best_matches(grams, dims, ("one",)), ["one", "ngram"]).groupBy("row_id", F.col("match").alias("d")).agg(F.max("score").alias("score"))
+    hits = grams.join(best_matches(grams, small(dims), ("one",)), ["one", "ngram"]).groupBy("row_id", F.col("match").alias("d")).agg(F.max("score").alias("score"))
     up = G.parents(gaz.divisions, ("d",), "p").select("d", "p")
     found = hits.join(small(up), "d").groupBy("row_id", "p").agg(F.max("score").alias("score"))
     out = found.select("row_id", "p", (F.col("score") * K.INHERIT_PENALTY).alias("p_score"), F.lit("inferred").alias("p_source"), F.lit(-1).alias("ps"), F.lit(-1).alias("pe"))

@@ -12,6 +12,7 @@ from placeweave.operators.gazetteer import Gazetteer
 from placeweave.operators.matching import street_lookup
 from placeweave.operators.resolve import resolve
 from placeweave.operators.review import ratio
+from placeweave.plans.stages import staged
 from placeweave.sources import readers, writers
 
 
@@ -74,7 +75,8 @@ def run_csv(spark: SparkSession, gazetteer: Gazetteer, source: str, target: str)
 
 def run_parquet(spark: SparkSession, gazetteer: Gazetteer, source: str, target: str, parts: list[str], limit: int | None = None) -> None:
     """Parquet in, the same rows with the parsed levels and street out."""
-    rows = readers.addresses_parquet(spark, source, parts, limit).withColumn("row_id", F.monotonically_increasing_id())
+    # Written once: numbers that are made again after a lost task could differ.
+    rows = staged(readers.addresses_parquet(spark, source, parts, limit).withColumn("row_id", F.monotonically_increasing_id()), "numbered")
     found = resolve(rows, gazetteer, address="raw_address")
     named = found.select("row_id", *(F.nullif(F.lower(c), F.lit("")).alias(k) for c, k in (("province", "p"), ("district", "d"), ("ward", "w"))), F.lower("remaining_1").alias("text"))
     street = street_lookup(named.where("p is not null"), gazetteer.streets).select("row_id", "street")
