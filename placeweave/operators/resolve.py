@@ -45,6 +45,12 @@ def _top(df: DataFrame, by: list[str], order: list[Column], k: int, ordinal: str
     return df.withColumn(ordinal, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(ordinal) <= k)
 
 
+def _nearest(start: str, end: str) -> list[Column]:
+    """Of a name's n-grams that score the same: equal ones before those that contain it or are like it, then the last, then the
+    shortest, so that the name's place does not depend on the order in which rows come."""
+    return [F.desc("exact"), F.desc(end), F.desc(start)]
+
+
 def _drop_spans(items: Column, spans: list[tuple[str, str]]) -> Column:
     def outside(x: Column) -> Column:
         return reduce(lambda a, b: a & b, ((F.col(s) < 0) | (x["i"] < F.col(s)) | (x["i"] >= F.col(e)) for s, e in spans))
@@ -76,18 +82,18 @@ def provinces(rows: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     hinted = hinted.where((F.col("hit") >= K.HINT_THRESHOLD) & ~F.col("ngram").rlike(r"^\d+$"))
     seen = hinted.groupBy("row_id").agg(F.max_by(F.struct("s", "e"), F.struct("hit", "n", "e")).alias("at"))
     known = rows.where("hp is not null").select("row_id", "hp").join(seen, "row_id", "left")
-    known = known.select("row_id", F.col("hp").alias("p"), F.when(F.col("at").isNotNull(), 1.2).otherwise(1.0).alias("p_score"), F.when(F.col("at").isNotNull(), "known_and_in_text").otherwise("known").alias("p_source"), F.coalesce("at.s", F.lit(-1)).alias("ps"), F.coalesce("at.e", F.lit(-1)).alias("pe"))
+    known = known.select("row_id", F.col("hp").alias("p"), F.when(F.col("at").isNotNull(), 1.2).otherwise(1.0).alias("p_score"), F.when(F.col("at").isNotNull(), "known_and_in_text").otherwise("known").alias("p_source"), F.coalesce("at.s", F.lit(-1)).alias("ps"), F.coalesce("at.e", F.lit(-1)).alias("pe"), F.lit(False).alias("exact"))
     free = grams.where("hp is null")
     short = free.where((F.col("n") <= 2) & (F.length("ngram") >= 2) & ~F.col("ngram").rlike(r"^\d+$"))
     abbr = G.province_candidates(short.withColumnRenamed("ngram", "key"), gaz.abbreviations).join(small(dims.select(F.col("name").alias("word"))), "word")
-    abbr = abbr.select("row_id", F.col("word").alias("p"), F.when(F.col("s") >= F.col("len") - 3, 0.95).otherwise(0.85).alias("p_score"), F.lit("abbreviation").alias("p_source"), F.col("s").alias("ps"), F.col("e").alias("pe"))
+    abbr = abbr.select("row_id", F.col("word").alias("p"), F.when(F.col("s") >= F.col("len") - 3, 0.95).otherwise(0.85).alias("p_score"), F.lit("abbreviation").alias("p_source"), F.col("s").alias("ps"), F.col("e").alias("pe"), F.lit(False).alias("exact"))
     full = free.where(~F.col("ngram").rlike(r"^\d+$") & ~F.arrays_overlap(F.split("ngram", " "), F.array(*map(F.lit, K.NOISE_WORDS)))).withColumn("one", F.lit(1))
     full = full.withColumn("mult", F.when(F.col("e") == F.col("len"), F.greatest(F.lit(1.0), N.delimiter_score(F.col("seg"), F.col("s"), F.col("e")))).otherwise(N.delimiter_score(F.col("seg"), F.col("s"), F.col("e"))))
     hits = best_matches(full, small(dims), ("one",), extra=F.col("mult"))
-    found = full.join(hits, ["one", "ngram", "mult"]).select("row_id", F.col("match").alias("p"), F.col("score").alias("p_score"), F.when(F.col("e") == F.col("len"), "rightmost").otherwise("full_scan").alias("p_source"), F.col("s").alias("ps"), F.col("e").alias("pe"))
+    found = full.join(hits, ["one", "ngram", "mult"]).select("row_id", F.col("match").alias("p"), F.col("score").alias("p_score"), F.when(F.col("e") == F.col("len"), "rightmost").otherwise("full_scan").alias("p_source"), F.col("s").alias("ps"), F.col("e").alias("pe"), "exact")
     rank = F.element_at(F.create_map(*(F.lit(x) for pair in (("known_and_in_text", 4), ("known", 3), ("abbreviation", 2), ("rightmost", 1), ("full_scan", 0)) for x in pair)), F.col("p_source"))
     both = known.union(abbr).union(found).withColumn("rank", rank)
-    best = _top(both, ["row_id", "p"], [F.desc("p_score"), F.desc("rank"), F.desc("pe")], 1, "n").drop("n")
+    best = _top(both, ["row_id", "p"], [F.desc("p_score"), F.desc("rank"), *_nearest("ps", "pe")], 1, "n").drop("n", "exact")
     named = F.max(F.col("p_source").isin("rightmost", "known_and_in_text")).over(Window.partitionBy("row_id"))
     best = best.withColumn("p_score", F.when(named & (F.col("p_source") == "abbreviation"), F.col("p_score") * 0.9).otherwise(F.col("p_score")))
     return _top(best, ["row_id"], [F.desc("p_score"), F.desc("rank"), "p"], K.PROVINCE_BEAM, "p_ord").drop("rank")
@@ -130,21 +136,21 @@ def districts(branches: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     grams = staged(_numbers(_exploded(open_, "items", keys)), "grams")
     dims = gaz.names("d").select("p", F.col("d").alias("name"))
     hits = grams.join(best_matches(grams.select("p", "ngram"), dims, ("p",)), ["p", "ngram"]).where("exact or not number")
-    named = hits.select(*keys, F.col("match").alias("d"), (F.col("score") * F.col("bonus")).alias("d_score"), F.lit("fuzzy").alias("d_source"), F.col("s").alias("ds"), F.col("e").alias("de"))
-    named = _top(named, [*keys, "d"], [F.desc("d_score"), F.desc("de")], 1, "n").drop("n")
+    named = hits.select(*keys, F.col("match").alias("d"), (F.col("score") * F.col("bonus")).alias("d_score"), F.lit("fuzzy").alias("d_source"), F.col("s").alias("ds"), F.col("e").alias("de"), "exact")
+    named = _top(named, [*keys, "d"], [F.desc("d_score"), *_nearest("ds", "de")], 1, "n").drop("n", "exact")
     direct = staged(_placed(fixed.union(named), keys, "d_score", "ds"), "direct")
     none = open_.join(direct.select(*keys).distinct(), keys, "left_anti")
     wards = gaz.names("w").select("p", "d", F.col("w").alias("name"))
     none = staged(none, "unnamed")
     loose = staged(_numbers(_exploded(none, "items", keys)), "grams")
     by_gram = loose.join(best_matches(loose.select("p", "ngram"), wards, ("p",), context=False), ["p", "ngram"]).where("exact or not number")
-    by_gram = by_gram.select(*keys, "match", (F.col("score") * F.col("bonus") * K.INHERIT_PENALTY).alias("w_score"), F.lit(0.9 * K.INHERIT_PENALTY).alias("d_score"), F.lit("inferred_from_ward").alias("d_source"), "s", "e")
+    by_gram = by_gram.select(*keys, "match", (F.col("score") * F.col("bonus") * K.INHERIT_PENALTY).alias("w_score"), F.lit(0.9 * K.INHERIT_PENALTY).alias("d_score"), F.lit("inferred_from_ward").alias("d_source"), "s", "e", "exact")
     said = none.select(*keys, F.explode("explicit.wards").alias("x")).select(*keys, F.col("x.name").alias("ngram"), "x.s", "x.e")
     by_word = said.join(best_matches(said.select("p", "ngram"), wards, ("p",), threshold=K.EXPLICIT_THRESHOLD), ["p", "ngram"])
-    by_word = by_word.select(*keys, "match", (F.col("score") * K.EXPLICIT_BONUS * K.INHERIT_PENALTY).alias("w_score"), F.lit(0.95 * K.INHERIT_PENALTY).alias("d_score"), F.lit("inferred_from_explicit_ward").alias("d_source"), "s", "e")
+    by_word = by_word.select(*keys, "match", (F.col("score") * K.EXPLICIT_BONUS * K.INHERIT_PENALTY).alias("w_score"), F.lit(0.95 * K.INHERIT_PENALTY).alias("d_score"), F.lit("inferred_from_explicit_ward").alias("d_source"), "s", "e", "exact")
     up = G.parents(gaz.divisions, ("p", "w"), "d").select("p", F.col("w").alias("match"), "d")
     inferred = by_gram.union(by_word).join(up, ["p", "match"])
-    inferred = _top(inferred, [*keys, "d"], [F.desc("d_score"), F.desc("w_score"), "match"], 1, "n")
+    inferred = _top(inferred, [*keys, "d"], [F.desc("d_score"), F.desc("w_score"), "match", *_nearest("s", "e")], 1, "n")
     inferred = inferred.select(*keys, "d", "d_score", "d_source", F.lit(-1).alias("ds"), F.lit(-1).alias("de"), F.col("match").alias("w"), "w_score", F.col("s").alias("ws"), F.col("e").alias("we"))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("w", "string"), ("w_score", "double"), ("ws", "int"), ("we", "int"))]
     every = direct.select(*keys, "d", "d_score", "d_source", "ds", "de", *nothing).unionByName(inferred)
@@ -160,12 +166,12 @@ def wards(branches: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     open_ = staged(open_, "branches")
     grams = staged(_numbers(_exploded(open_, "items", keys)), "grams")
     near = grams.join(best_matches(grams.select("p", "d", "ngram"), dims, ("p", "d"), context=True), ["p", "d", "ngram"]).where("exact or not number")
-    near = near.select(*keys, F.col("match").alias("w"), (F.col("score") * F.col("bonus")).alias("w_score"), F.lit(1).alias("rank"), F.col("s").alias("ws"), F.col("e").alias("we"))
+    near = near.select(*keys, F.col("match").alias("w"), (F.col("score") * F.col("bonus")).alias("w_score"), F.lit(1).alias("rank"), F.col("s").alias("ws"), F.col("e").alias("we"), "exact")
     said = open_.select(*keys, "ps", "pe", "ds", "de", F.explode("explicit.wards").alias("x")).select("*", F.col("x.name").alias("ngram"), "x.s", "x.e")
     said = said.where("not (s < pe and e > ps) and not (s < de and e > ds)")
     by_word = said.join(best_matches(said.select("p", "d", "ngram"), dims, ("p", "d"), threshold=K.EXPLICIT_THRESHOLD), ["p", "d", "ngram"])
-    by_word = by_word.select(*keys, F.col("match").alias("w"), (F.col("score") * K.EXPLICIT_BONUS).alias("w_score"), F.lit(3).alias("rank"), F.col("s").alias("ws"), F.col("e").alias("we"))
-    best = _top(near.union(by_word), [*keys, "w"], [F.desc("rank"), F.desc("w_score"), F.desc("we")], 1, "n").drop("n")
+    by_word = by_word.select(*keys, F.col("match").alias("w"), (F.col("score") * K.EXPLICIT_BONUS).alias("w_score"), F.lit(3).alias("rank"), F.col("s").alias("ws"), F.col("e").alias("we"), "exact")
+    best = _top(near.union(by_word), [*keys, "w"], [F.desc("rank"), F.desc("w_score"), *_nearest("ws", "we")], 1, "n").drop("n", "exact")
     best = _placed(best, keys, "w_score", "ws")
     return _top(best, keys, [F.desc("w_score"), F.desc("rank"), "w"], K.WARD_BEAM, "w_ord").drop("rank")
 

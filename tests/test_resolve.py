@@ -98,3 +98,21 @@ def test_names_of_four_words(spark):
     df = spark.createDataFrame([(1, "so 12 zq ba ria vung tau"), (2, "so 7 zq phan rang thap cham ninh thuan")], "row_id long, address string")
     out = {r.row_id: (r.province, r.district) for r in R.resolve(df, gaz).collect()}
     assert out == {1: ("Tỉnh Ba Ria Vung Tau", ""), 2: ("Tỉnh Ninh Thuan", "Quận Phan Rang Thap Cham")}
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_a_name_is_placed_without_the_word_before_it(spark, partitions):
+    """Equal and similar n-grams that score 1 both: the equal one's place counts, in whatever order they come."""
+    rows = [(1, "middle east", "dien khanh", "suoi hiep", "MIDDLE EAST", "DIEN KHANH", "SUOI HIEP", "S1", "C1"), (2, "asia", "ba dinh", "cong vi", "ASIA", "BA DINH", "CONG VI", "S2", "C2")]
+    gaz = G.Gazetteer.of(spark.createDataFrame(rows, G.DIVISIONS))
+    words = ["an", "ap", "bo", "ca", "ga", "le", "my", "no", "ta", "tx", "vy", "ze"]
+    df = spark.createDataFrame([(i, f"{w} suoi hiep, {w} dien khanh, {w} middle east") for i, w in enumerate(words)], "row_id long, address string")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        best = R.candidates(staged(R.prepare(df.repartition(partitions)), "rows"), gaz).where("cand_rank = 1").collect()
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+    assert {r.row_id: (r.p, r.ps, r.pe, r.d, r.ds, r.de, r.w, r.ws, r.we) for r in best} == {i: ("middle east", 7, 9, "dien khanh", 4, 6, "suoi hiep", 1, 3) for i in range(len(words))}
