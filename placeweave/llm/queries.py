@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placeweave.llm import media, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, token_counts, toxicity
+from placeweave.llm import alignment, conversations, language_model, media, mixing, near_dedup, neighbours, packing, repeats, secrets, sharding, token_counts, toxicity
 from placeweave.llm.common import read, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,5 +86,23 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.apply_edits(edited, path).select("doc_id", "n_tokens", "n_edits", "n_tokens_edited", "edited_crc32", "recoded_chars")
 
 
+@query("op11_language_model")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    scored = language_model.score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 != 1)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(read(spark, sf_dir, "conversations")))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return alignment.align(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 ORACLE_SQL["op9_repeated_passages"] = repeats.ORACLE
 ORACLE_SQL["op10_near_duplicates"] = near_dedup.ORACLE
