@@ -4,8 +4,8 @@ A text is tokenized twice: with a space before it by a byte-level BPE (A), and b
 itself (B). Places where tokens of both end cut the text into groups; inside a group, every A token is linked with the B tokens
 whose bytes it overlaps. Few distinct groups make up all texts, so they are interned: tokenized, linked and counted once each.
 
-1. No token of either goes from a visible character to a space after it (checked in both vocabularies), so there a text falls
-   into segments that can be tokenized alone. A task interns segments and, in them, groups: every distinct segment is encoded
+1. No token of either goes from a visible character to a space or line end after it (A's pattern cuts there; B's pieces are checked),
+   so there a text falls into segments that can be tokenized without the rest of it. A task interns segments and, in them, groups: every distinct segment is encoded
    once, every distinct group's links are expanded once. A chunk of documents keeps, for each document, which groups it has how
    often; and how many of its documents hold each linked id pair (distinct documents, whatever groups the pair comes from).
 2. Pairs: the chunks' counts are added up; an A id's highest is taken from them (one row an A id: bounded by the vocabulary).
@@ -25,9 +25,11 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +38,13 @@ from placeweave.llm.common import joined_small, saved, slices
 from placeweave.llm.packed import pack, unpack
 from placeweave.llm.packing import encoding
 
-CHUNK, SEGMENTS = 8 << 20, 1 << 18
-#: Where a segment ends: before a space that follows a visible character.
-CUT = re.compile(r"(?<=\S) ")
+CHUNK, SEGMENTS = 8 << 20, 1 << 19
+#: Where a segment ends: before a space or line end that follows a visible character.
+CUT = re.compile(r"(?<=\S)(?=[ \n])")
+#: Two spaces or line ends together, or one at the beginning or end, or any other white space.
+ODD = r"^[ \n]|[ \n]$|[ \n][ \n]|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Characters of segments that are encoded at once; groups of fewer ids are keyed at once.
+RUN, WIDE = 1 << 15, 8
 SPACE = "▁"
 ROWS = "kind string, chunk long, doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, groups binary, times binary, at int, key binary, a int, b int, n long"
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -51,7 +57,7 @@ def pieces(path: str):
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     names = [model.id_to_piece(i) for i in range(model.get_piece_size())]
-    if any(re.search(f"[^{SPACE}]{SPACE}", x) for x in names):
+    if any(re.search(f"[^{SPACE}]{SPACE}|\n", x) for x in names):
         raise ValueError(f"{path}: pieces go over the beginning of a word")
     for probe in ("a", " a  b ", "Åﬁ①½\t\n", "éé"):
         if "".join(_spelt(names[i]).decode("latin-1") for i in model.encode(probe)) != (" " + probe).encode().decode("latin-1"):
@@ -65,10 +71,10 @@ def _spelt(piece: str) -> bytes:
 
 
 @lru_cache(1)
-def byte_lengths(path: str) -> np.ndarray:
+def byte_lengths(path: str) -> list[int]:
     """Bytes of each id of the byte-level BPE at ``path``."""
     found = encoding(path)
-    out = np.zeros(found.n_vocab, np.int64)
+    out = [0] * found.n_vocab
     for i in range(found.n_vocab):
         try:
             out[i] = len(found.decode_single_token_bytes(i))
@@ -77,85 +83,104 @@ def byte_lengths(path: str) -> np.ndarray:
     return out
 
 
-def groups_of(a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> list[tuple[tuple[int, ...], tuple[int, ...]]]:
-    """The groups of two token sequences over the same bytes."""
-    end_a, end_b = np.cumsum(size_a[a]), np.cumsum(size_b[b])
-    _, cut_a, cut_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
-    out, i, j = [], 0, 0
-    for x, y in zip((cut_a + 1).tolist(), (cut_b + 1).tolist(), strict=True):
-        out.append((tuple(a[i:x]), tuple(b[j:y])))
-        i, j = x, y
+def _keys(a: np.ndarray, b: np.ndarray, stop_a: np.ndarray, stop_b: np.ndarray) -> list[bytes]:
+    """The groups' keys: how many ids are of A, then all, as 32-bit numbers, without zero bytes at the end (no B id is 0)."""
+    n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+    short = n_a + n_b < WIDE
+    rows = np.zeros((len(n_a), WIDE), "<u4")
+    rows[:, 0] = n_a
+    for ids, stop, n, shift in ((a, stop_a, n_a, np.zeros_like(n_a)), (b, stop_b, n_b, n_a)):
+        row = np.repeat(np.flatnonzero(short), n[short])
+        at = _ranges((stop - n)[short], stop[short])
+        rows[row, 1 + shift[row] + at - (stop - n)[row]] = ids[at]
+    out = rows.view(f"S{4 * WIDE}").ravel().tolist()
+    for i in np.flatnonzero(~short).tolist():
+        ids = [n_a[i], *a[stop_a[i] - n_a[i] : stop_a[i]], *b[stop_b[i] - n_b[i] : stop_b[i]]]
+        out[i] = np.array(ids, "<u4").tobytes().rstrip(b"\0")
     return out
 
 
-def links_of(a: tuple[int, ...], b: tuple[int, ...], size_a: np.ndarray, size_b: np.ndarray) -> list[tuple[int, int]]:
-    """All overlapping (A id, B id) occurrences of one group, in order."""
-    out, i, j = [], 0, 0
-    left, right = int(size_a[a[0]]), int(size_b[b[0]])
-    while True:
-        out.append((a[i], b[j]))
-        step = min(left, right)
-        left, right = left - step, right - step
-        if not left:
-            i += 1
-            if i == len(a):
-                return out
-            left = int(size_a[a[i]])
-        if not right:
-            j += 1
-            right = int(size_b[b[j]])
+def group_at(key: bytes) -> tuple[list[int], list[int]]:
+    """The A and B ids of a group's key."""
+    n, *ids = np.frombuffer(key.ljust(-(-len(key) // 4) * 4, b"\0"), "<u4").tolist()
+    return ids[:n], ids[n:]
 
 
-def key_of(a: tuple[int, ...], b: tuple[int, ...]) -> bytes:
-    """A group's ids: how many of A, then all, as little-endian 32-bit numbers."""
-    return np.array([len(a), *a, *b], "<u4").tobytes()
-
-
-def group_at(key: bytes) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    n, *ids = np.frombuffer(key, "<u4").tolist()
-    return tuple(ids[:n]), tuple(ids[n:])
+def links_of(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the links of two token sequences over the same bytes end, and which A and B token each is of: two overlap as far as no
+    token of either ends in between."""
+    ends = np.union1d(end_a, end_b)
+    return ends, np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
 
 
 class _Dictionary:
     """Segments and groups of a task's texts; both are forgotten together when they are many."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.encode, (self.model, spelt) = encoding(path_a).encode_ordinary, pieces(path_b)
-        self.size_a, self.size_b, self.spelt = byte_lengths(path_a), np.array([len(x) for x in spelt]), spelt
-        self.space = self.model.piece_to_id(SPACE)
+        self.encode, (self.model, self.spelt) = encoding(path_a).encode_ordinary, pieces(path_b)
+        self.size_a, self.size_b = np.array(byte_lengths(path_a)), np.array([len(x) for x in self.spelt])
         self.forget()
 
     def forget(self) -> None:
         self.segments: dict[str, int] = {}
         self.number: dict[bytes, int] = {}
         self.keys: list[bytes] = []
-        self.pairs, self.ends = array("q"), array("q")  # the groups' distinct links, one after the other
-        self.texts, self.sizes, self.members = [], [], []  # by segment: its groups as text, (A ids, B ids), numbers of its groups
+        self.texts: list[str] = []  # of the groups
+        self.pairs, self.pair_ends = array("q"), array("q", [0])  # the groups' distinct links, one after the other
+        self.members, self.member_ends = array("q"), array("q", [0])  # the segments' groups, likewise
+        self.sizes = array("q")  # of the segments: how many A and B ids; -1 where B does not spell them
 
     def learn(self, fresh: list[str]) -> None:
-        """Encodes segments that are not known yet."""
-        for segment, b in zip(fresh, self.model.encode(fresh, num_threads=1), strict=True):
-            a = self.encode(" " + segment)
-            b = b or [self.space]  # the model puts no space before nothing
-            self.segments[segment] = len(self.texts)
-            if b"".join([self.spelt[i] for i in b]) != (" " + segment).encode():
-                self.texts.append("")
-                self.sizes.append((0, 0))
-                self.members.append(None)
+        """Encodes segments that are not known yet: many at once, but each of those that may not stand before another."""
+        run, size = [], 0
+        for segment in fresh:
+            if SPACE in segment or segment[-1].isspace():
+                self._add([segment])
                 continue
-            found = groups_of(a, b, self.size_a, self.size_b) if len(a) > 1 and len(b) > 1 else [(tuple(a), tuple(b))]
-            own = []
-            for group in found:
-                key = key_of(*group)
-                n = self.number.setdefault(key, len(self.keys))
-                if n == len(self.keys):
-                    self.keys.append(key)
-                    self.pairs.extend(sorted({x << 32 | y for x, y in links_of(*group, self.size_a, self.size_b)}))
-                    self.ends.append(len(self.pairs))
-                own.append(n)
-            self.texts.append(";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in found))
-            self.sizes.append((len(a), len(b)))
-            self.members.append(own)
+            run.append(segment)
+            size += len(segment)
+            if size > RUN:
+                self._add(run)
+                run, size = [], 0
+        if run:
+            self._add(run)
+
+    def _add(self, run: list[str]) -> None:
+        whole = [x if x[0] in " \n" else " " + x for x in run]
+        text = "".join(whole)
+        data, a, b = text.encode(), np.array(self.encode(text)), self.model.encode("\n" + text)[2:]
+        spelt = b"".join([self.spelt[i] for i in b])
+        end_a, end_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
+        stop = np.cumsum([len(x.encode()) for x in whole])
+        cuts, cut_a, cut_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
+        if spelt != data or not np.isin(stop, cuts).all():
+            if len(run) > 1:
+                for segment in run:
+                    self._add([segment])
+                return
+            self.segments[run[0]] = len(self.sizes) // 2
+            self.sizes.extend((-1, -1))
+            self.member_ends.append(len(self.members))
+            return
+        ends, of_a, of_b = links_of(end_a, end_b)
+        links = (a[of_a] << 32 | np.array(b)[of_b]).tolist()
+        last = np.searchsorted(ends, cuts, side="right").tolist()
+        keys = _keys(a, np.array(b), cut_a + 1, cut_b + 1)
+        numbers = list(map(self.number.get, keys))
+        for i in [i for i, n in enumerate(numbers) if n is None]:
+            n = numbers[i] = self.number.setdefault(keys[i], len(self.keys))
+            if n == len(self.keys):
+                self.keys.append(keys[i])
+                self.texts.append("|".join(",".join(map(str, ids)) for ids in group_at(keys[i])))
+                self.pairs.extend(sorted(set(links[last[i - 1] if i else 0 : last[i]])))
+                self.pair_ends.append(len(self.pairs))
+        first = len(self.members)
+        self.members.extend(numbers)
+        self.member_ends.extend((first + np.searchsorted(cuts, stop, side="right")).tolist())
+        sizes = [np.diff(np.searchsorted(e, stop, side="right"), prepend=0) for e in (end_a, end_b)]
+        self.sizes.extend(np.stack(sizes, axis=1).ravel().tolist())
+        at = len(self.segments)
+        self.segments.update(zip(run, range(at, at + len(run)), strict=True))
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -164,12 +189,24 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
 
 
-def _segments(text: str | None) -> list[str]:
-    """The text's segments, each without the space before it."""
-    if not text:
-        return []
-    plain = text.isprintable() and "  " not in text and text[0] != " "
-    return text.split(" ") if plain else CUT.split(text)
+def _segments(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct segments of all texts, each text's as numbers of these, one after the other, and the bounds of each text's.
+
+    Texts whose words are parted by single spaces and line ends are cut by Arrow; others by CUT. A segment that is a space and then
+    a visible character goes without that space."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False) | (pc.binary_length(texts).to_numpy() == 0)
+    plain = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n"), " ")
+    cut = [[x[1:] if len(x) > 1 and x[0] == " " and x[1] not in " \n" else x for x in CUT.split(" " + t)] if t else [] for t in texts.filter(pa.array(odd)).to_pylist()]
+    count = np.zeros(len(texts), np.int64)
+    count[~odd] = np.diff(plain.offsets.to_numpy())
+    count[odd] = [len(x) for x in cut]
+    bounds = np.append(0, np.cumsum(count))
+    every = pa.chunked_array([plain.flatten(), pa.array(list(chain.from_iterable(cut)), pa.large_string())]).combine_chunks().dictionary_encode()
+    where = np.concatenate([_ranges(bounds[:-1][x], bounds[1:][x]) for x in (~odd, odd)])
+    numbers = np.empty(len(where), np.int64)
+    numbers[where] = every.indices.to_numpy()
+    return every.dictionary.to_pylist(), numbers, bounds
 
 
 def _aligned(path_a: str, path_b: str, chunk_size: int):
@@ -197,7 +234,7 @@ def _aligned(path_a: str, path_b: str, chunk_size: int):
                 part = keys[x : x + (1 << 15)]
                 yield batch(len(part), kind=["group"] * len(part), chunk=[chunk] * len(part), at=np.arange(x, x + len(part)), key=part)
             # The links of the chunk's groups once each, then the documents' distinct pairs.
-            ends = np.append(0, np.frombuffer(known.ends, np.int64))
+            ends = np.array(known.pair_ends)
             pairs = np.frombuffer(known.pairs, np.int64)[_ranges(ends[used], ends[used + 1])]
             flat, where = np.unique(pairs, return_inverse=True)
             start = np.append(0, np.cumsum(ends[used + 1] - ends[used]))
@@ -212,23 +249,26 @@ def _aligned(path_a: str, path_b: str, chunk_size: int):
         waiting = 0
         none = (np.empty(0, np.int64), np.empty(0, np.int64))
         for given in slices(batches):
-            texts = [_segments(t) for t in given.column(1).to_pylist()]
-            known.learn(list(dict.fromkeys(s for t in texts for s in t if s not in known.segments)))
-            for doc_id, segments in zip(given.column(0).to_pylist(), texts, strict=True):
-                at = [known.segments[s] for s in segments]
-                parts = [known.members[i] for i in at]
-                if not at or None in parts:
+            distinct, at, bounds = _segments(given.column(1))
+            found = list(map(known.segments.get, distinct))
+            if None in found:
+                known.learn([s for s, i in zip(distinct, found, strict=True) if i is None])
+                found = list(map(known.segments.__getitem__, distinct))
+            ends, members, sizes = np.array(known.member_ends), np.array(known.members), np.array(known.sizes).reshape(-1, 2)
+            at = np.array(found, np.int64)[at]
+            for doc_id, own in zip(given.column(0).to_pylist(), np.split(at, bounds[1:-1]), strict=True):
+                if not len(own) or sizes[own].min() < 0:
                     docs.append((doc_id, 0, 0, 0, "", none))
                     continue
-                flat = np.array([g for p in parts for g in p])
-                sizes = np.array([known.sizes[i] for i in at]).sum(0)
-                digest = hashlib.sha256(";".join([known.texts[i] for i in at]).encode()).hexdigest()
-                docs.append((doc_id, int(sizes[0]), int(sizes[1]), len(flat), digest, np.unique(flat, return_counts=True)))
+                flat = members[_ranges(ends[own], ends[own + 1])]
+                n_a, n_b = sizes[own].sum(0).tolist()
+                digest = hashlib.sha256(";".join(list(map(known.texts.__getitem__, flat.tolist()))).encode()).hexdigest()
+                docs.append((doc_id, n_a, n_b, len(flat), digest, np.unique(flat, return_counts=True)))
             waiting += given.nbytes
-            if waiting >= chunk_size or len(known.texts) >= SEGMENTS:
+            if waiting >= chunk_size or len(known.segments) >= SEGMENTS:
                 yield from flush()
                 waiting = 0
-                if len(known.texts) >= SEGMENTS:
+                if len(known.segments) >= SEGMENTS:
                     known.forget()
         if docs:
             yield from flush()
@@ -240,10 +280,15 @@ def _links(path_a: str, path_b: str):
     """A row for each link of a group, as often as it occurs there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size_a, size_b = byte_lengths(path_a), np.array([len(x) for x in pieces(path_b)[1]])
+        size_a, size_b = np.array(byte_lengths(path_a)), np.array([len(x) for x in pieces(path_b)[1]])
         for batch in slices(batches, 1 << 18):
-            links = [(key, a, b) for key in batch.column(0).to_pylist() for a, b in links_of(*group_at(key), size_a, size_b)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.binary()), *(pa.array([x[i] for x in links], pa.int32()) for i in (1, 2))], names=["key", "a", "b"])
+            groups = [group_at(key) for key in batch.column(0).to_pylist()]  # as one text
+            a, b = (np.fromiter(chain.from_iterable(g[side] for g in groups), np.int64) for side in (0, 1))
+            end_a = np.cumsum(size_a[a])
+            ends, of_a, of_b = links_of(end_a, np.cumsum(size_b[b]))
+            stop = end_a[np.cumsum([len(g[0]) for g in groups]) - 1]
+            owner = pa.array(np.searchsorted(stop, ends))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(a[of_a].astype(np.int32)), pa.array(b[of_b].astype(np.int32))], names=["key", "a", "b"])
 
     return run
 
