@@ -15,7 +15,7 @@ from placeweave.functions import text as T
 from placeweave.functions import tokens as N
 from placeweave.operators import enrich, matching, review, snapshots
 from placeweave.operators import gazetteer as G
-from placeweave.operators.resolve import resolve
+from placeweave.operators.resolve import resolve, top
 from placeweave.plans.stages import small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -258,11 +258,11 @@ def street_lookup_exact_then_fuzzy(t: Tables) -> DataFrame:
     return matching.street_lookup(rows, streets).select("row_id", "street", F.round("street_score", 6).alias("street_score"))
 
 
-@query(GAZ + " select c_custkey, arg_min(w_full, id) as w_full, min(id)::int as id from (select c_custkey, dv.* from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey left join dv on dv.p = lower(r_name) and dv.d = lower(replace(n_name, '_', ' '))) group by 1")
+@query(GAZ + " select c_custkey, arg_min(d_full, id) as d_full, min(id)::int as id from (select c_custkey, dv.* from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey left join dv on dv.p = lower(r_name) and dv.d = lower(replace(n_name, '_', ' '))) group by 1")
 def exact_gazetteer_lookup(t: Tables) -> DataFrame:
-    least = divisions(t).groupBy("p", "d").agg(F.min_by("w_full", "id").alias("w_full"), F.min("id").alias("id"))
     people = t.customer.join(small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
-    return people.select("c_custkey", T.finalize(F.col("r_name"), True).alias("p"), T.finalize(F.col("n_name"), True).alias("d")).join(least, ["p", "d"], "left").select("c_custkey", "w_full", "id")
+    rows = people.select("c_custkey", T.finalize(F.col("r_name"), True).alias("p"), T.finalize(F.col("n_name"), True).alias("d"))
+    return G.exact_match(rows, divisions(t), ("p", "d")).select("c_custkey", "d_full", "id")
 
 
 @query(GAZ + """ , q as (select id as k, p, case when id % 4 = 0 then null when id % 4 = 1 then d || 'x' else d end as d, case when id % 4 = 3 then w end as w from dv)
@@ -278,30 +278,41 @@ def children_of_scope(t: Tables) -> DataFrame:
     return G.children(divisions(t), ("p",), "d")
 
 
-@query(GAZ + " , x as (select *, substr(w, -1) as v from dv) select p, v, arg_min(d, id) as d, array_to_string(list_sort(list(distinct d)), '|') as all_d from x group by 1, 2")
+@query(GAZ + " , x as (select *, 'ward ' || id % 10 as v from dv) select p, v, arg_min(d, id) as d, array_to_string(list_sort(list(distinct d)), '|') as all_d from x group by 1, 2")
 def parents_all(t: Tables) -> DataFrame:
-    dv = divisions(t).withColumn("v", F.substring("w", -1, 1))
+    """Ten ward names, each of which many districts of a province have."""
+    dv = divisions(t).withColumn("v", F.concat(F.lit("ward "), F.col("id") % 10))
     return G.parents(dv, ("p", "v"), "d").select("p", "v", "d", F.array_join("all_d", "|").alias("all_d"))
 
 
-@query(GAZ + " , x as (select p[1:1] as p, d[1:1] as d from dv) select distinct p as name from x where p in (select d from x)")
+@query(GAZ + " , x as (select p, case when id % 7 = 0 then p else d end as d from dv) select distinct p as name from x where p in (select d from x)")
 def name_collision(t: Tables) -> DataFrame:
-    return G.collisions(divisions(t).select(F.substring("p", 1, 1).alias("p"), F.substring("d", 1, 1).alias("d")))
+    """Every seventh division's district has its province's name."""
+    return G.collisions(divisions(t).withColumn("d", F.when(F.col("id") % 7 == 0, F.col("p")).otherwise(F.col("d"))))
 
 
-@query(GAZ + " , x as (select d[1:1] as n, 'district' as l from dv union all select substr(w, 9, 1), 'ward' from dv union all select 'n', 'ward') select n as name, string_agg(distinct l, '|' order by l) as levels from x group by 1 having count(distinct l) > 1")
+@query(GAZ + " , x as (select d as n, 'district' as l from dv union all select case when id % 5 = 0 then d else w end, 'ward' from dv) select n as name, string_agg(distinct l, '|' order by l) as levels from x group by 1 having count(distinct l) > 1")
 def ambiguous_names(t: Tables) -> DataFrame:
-    dv = divisions(t).select(F.substring("d", 1, 1).alias("d"), F.substring("w", 9, 1).alias("w"))
-    dv = dv.unionByName(t.spark.createDataFrame([(None, "n")], "d string, w string"))
+    """Every fifth division's ward has its district's name."""
+    dv = divisions(t).select("d", F.when(F.col("id") % 5 == 0, F.col("d")).otherwise(F.col("w")).alias("w"))
     return G.ambiguous_names(dv).select("name", F.array_join("levels", "|").alias("levels"))
 
 
 ABBR = [("hn", "ha noi", None, None), ("hn", "ha nam", "ha nam", None), ("tx", "thanh xuan", "ha noi", None), ("db", "dien bien", None, None), ("db", "dien ban", "ha noi", "ba dinh"), ("dn", "da nang", None, None), ("dn", "dong nai", None, None)]
 
 
-@query("select * from (values ('db', 'dien ban'), ('hn', 'ha noi'), ('tx', 'thanh xuan')) v(key, word)")
+@query("""with a as (select 'k' || n_nationkey % 6 as key, lower(replace(n_name, '_', ' ')) as word, case when n_nationkey % 3 > 0 then lower(r_name) end as pc, case when n_nationkey % 3 = 2 then 'd' || n_nationkey % 2 end as dc from nation join region on n_regionkey = r_regionkey),
+x as (select key, (dc is not null)::int + (pc is not null)::int as rank, min(word) as word, count(distinct word) as n from a where coalesce(pc, 'asia') = 'asia' and coalesce(dc, 'd1') = 'd1' group by 1, 2)
+select key, arg_max(word, rank) as word from x where rank > 0 or n = 1 group by 1""")
 def abbreviation_precedence(t: Tables) -> DataFrame:
-    return G.abbreviation_map(t.spark.createDataFrame(ABBR, G.ABBREVIATIONS), "ha noi", "ba dinh")
+    return G.abbreviation_map(_abbreviations(t), "asia", "d1")
+
+
+def _abbreviations(t: Tables) -> DataFrame:
+    """Six keys for the nations, of which some hold everywhere, some in a region and some in one half of it."""
+    nations, k = t.nation.join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey")), F.col("n_nationkey")
+    names = [F.concat(F.lit("k"), k % 6), T.finalize(F.col("n_name"), True), F.when(k % 3 > 0, F.lower("r_name")), F.when(k % 3 == 2, F.concat(F.lit("d"), k % 2))]
+    return nations.select(*(c.cast("string").alias(name.split()[0]) for c, name in zip(names, G.ABBREVIATIONS.split(", "), strict=True)))
 
 
 @query("select o_orderkey, word from orders join (values ('dn', 'da nang'), ('dn', 'dong nai'), ('hn', 'ha noi'), ('db', 'dien bien')) v(key, word) on key = case o_orderkey % 3 when 0 then 'dn' when 1 then 'hn' else 'tx' end")
@@ -317,13 +328,14 @@ def anti_join_unprocessed(t: Tables) -> DataFrame:
     return review.unprocessed(docs.select("doc_id", F.nullif("source", F.lit("src1")).alias("source")), done, ["doc_id", "source"]).select("doc_id")
 
 
-@query("""select c_custkey, coalesce((select n_name from nation where n_nationkey = c_nationkey limit 1), '') as nation,
-  coalesce((select r_name from region join nation on n_regionkey = r_regionkey where n_nationkey = c_nationkey limit 1), '') as region from customer""")
+@query(GAZ + """, x as (select c_custkey, lower(r_name) as p, case c_custkey % 4 when 0 then null when 1 then n_name || ' x' else lower(replace(n_name, '_', ' ')) end as d from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)
+select c_custkey, coalesce((select p_full from dv where dv.p = x.p order by id limit 1), '') as p_full, coalesce((select d_full from dv where dv.p = x.p and dv.d = x.d order by id limit 1), '') as d_full, '' as w_full from x""")
 def correlated_full_names(t: Tables) -> DataFrame:
-    for name in ("customer", "nation", "region"):
-        getattr(t, name).createOrReplaceTempView(f"pw_{name}")
-    return t.spark.sql("""select c_custkey, coalesce((select n_name from pw_nation where n_nationkey = c_nationkey limit 1), '') as nation,
-      coalesce((select r_name from pw_region join pw_nation on n_regionkey = r_regionkey where n_nationkey = c_nationkey limit 1), '') as region from pw_customer""")
+    """Full names of what is known of customers' nations: some have no district, some one that does not exist."""
+    people, k = t.customer.join(small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey")), F.col("c_custkey") % 4
+    district = F.when(k == 1, F.concat("n_name", F.lit(" x"))).when(k > 1, T.finalize(F.col("n_name"), True))
+    rows = people.select("c_custkey", T.finalize(F.col("r_name"), True).alias("p"), district.alias("d"), F.lit(None).cast("string").alias("w"))
+    return G.full_names(rows, divisions(t)).select("c_custkey", "p_full", "d_full", "w_full")
 
 
 def _moves(t: Tables) -> DataFrame:
@@ -336,7 +348,7 @@ r as (select id as row_id, p_full, case when id % 5 = 0 then null else d_full en
 x as (select row_id, np, nw, note, pr from r join m on r.w_full is not null and m.w_full = r.w_full and m.d_full = r.d_full and m.p_full = r.p_full
   union all select row_id, np, nw, note, pr from r join m on r.w_full is null and m.d_full = r.d_full and m.p_full = r.p_full
   union all select distinct row_id, np, null, note, pr from r join m on r.w_full is null and r.d_full is null and m.p_full = r.p_full)
-select row_id, coalesce(string_agg(np || '>' || coalesce(nw, '') || '>' || note, '|' order by pr, nw nulls first, np), '') as moved from r left join x using (row_id) group by 1""")
+select row_id, coalesce(string_agg(np || '>' || coalesce(nw, '') || '>' || note, '|' order by pr, nw nulls first, np, note), '') as moved from r left join x using (row_id) group by 1""")
 def migration_cascade(t: Tables) -> DataFrame:
     m = F.col("id") % 5
     rows = divisions(t).select(F.col("id").alias("row_id"), "p_full", F.when(m != 0, F.col("d_full")).alias("d_full"), F.when(m > 1, F.col("w_full")).alias("w_full"))
@@ -408,8 +420,8 @@ def having_group_concat(t: Tables) -> DataFrame:
 select l_returnflag, l_linestatus, l_orderkey, l_linenumber, n::int as n, m::int as m from b where m <= 3""")
 def beam_topk(t: Tables) -> DataFrame:
     order = [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")]
-    first = t.lineitem.withColumn("n", F.row_number().over(Window.partitionBy("l_returnflag", "l_linestatus").orderBy(*order))).where("n <= 5")
-    return first.withColumn("m", F.row_number().over(Window.partitionBy("l_returnflag").orderBy(*order))).where("m <= 3").select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "n", "m")
+    first = top(t.lineitem, ["l_returnflag", "l_linestatus"], order, 5, "n")
+    return top(first, ["l_returnflag"], order, 3, "m").select("l_returnflag", "l_linestatus", "l_orderkey", "l_linenumber", "n", "m")
 
 
 @query("select p_partkey, row_number() over (partition by p_brand order by p_size desc, case p_type when 'LARGE' then 3 when 'SMALL' then 2 else 1 end desc, p_partkey)::int as n from part")

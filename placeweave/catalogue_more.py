@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from placeweave.catalogue import ABBR, GAZ, Tables, divisions, query
+from placeweave.catalogue import ABBR, GAZ, Tables, _abbreviations, divisions, query
 from placeweave.functions import scoring as C
 from placeweave.functions import similarity as S
 from placeweave.functions import text as T
 from placeweave.functions import tokens as N
-from placeweave.operators import combine, context, enrich, matching, resolve, review, structural
+from placeweave.operators import changes, combine, context, enrich, matching, phrases, quarantine, resolve, review, similar, structural
 from placeweave.operators import gazetteer as G
+from placeweave.plans.stages import small
 from placeweave.sources import writers
 
 
@@ -344,3 +348,109 @@ def full_names_of_known(t: Tables) -> DataFrame:
     ward = F.when(k == 3, F.col("w")).when(k == 2, F.concat("w", F.lit(" x")))
     rows = divisions(t).select(F.col("id").alias("row_id"), F.when(F.col("id") % 7 == 6, F.concat("p", F.lit(" x"))).otherwise(F.col("p")).alias("p"), F.when(k > 0, F.col("d")).alias("d"), ward.alias("w"))
     return G.full_names(rows, divisions(t)).select("row_id", "p_full", "d_full", "w_full")
+
+
+@query("""with n as (select distinct p_name as a from part), x as (select x.a, y.a as b, 1 - levenshtein(x.a, y.a)::double / greatest(length(x.a), length(y.a)) as base from n x join n y on x.a <> y.a)
+select a, b, round(least(1, base + case when length(b) >= 5 and contains(a, b) then 0.25 else 0 end), 6)::double as score from x where base > 0 and least(1, base + case when length(b) >= 5 and contains(a, b) then 0.25 else 0 end) >= 0.85""")
+def similar_names_one_scope(t: Tables) -> DataFrame:
+    """All pairs of different part names, in one scope, that are alike."""
+    names = t.part.select("p_name").distinct()
+    pairs = similar.similar(names.withColumnRenamed("p_name", "a"), names.withColumnRenamed("p_name", "b"), (), "a", "b", 0.85).where("a <> b")
+    score = S.ensemble(F.col("a"), F.col("b"))
+    return pairs.select("a", "b", score.alias("score")).where("score >= 0.85").withColumn("score", F.round("score", 6))
+
+
+@query("""with q as (select distinct p_brand, lower(p_type) || ' ' || p_name as a from part), n as (select distinct p_brand, p_name as b from part),
+x as (select p_brand, a, b, 1 - levenshtein(a, b)::double / greatest(length(a), length(b)) + case when length(b) >= 5 and contains(a, b) then 0.5 else 0 end as score from q join n using (p_brand))
+select p_brand, a, b, round(least(1, score), 6)::double as score from x where score >= 0.9""")
+def names_inside_texts(t: Tables) -> DataFrame:
+    """Texts that hold a name of their brand, by a bonus that makes up for the other words."""
+    texts = t.part.select("p_brand", F.concat(F.lower("p_type"), F.lit(" "), "p_name").alias("a"))
+    pairs = similar.similar(texts, t.part.select("p_brand", F.col("p_name").alias("b")), ("p_brand",), "a", "b", 0.9, 0.5)
+    return pairs.withColumn("score", S.ensemble(F.col("a"), F.col("b"), True)).where("score >= 0.9").withColumn("score", F.round("score", 6))
+
+
+@query("""with c as (select user_id, event_type, max(event_id) as event_id, max(value) as value from events where event_id % 5 = 0 group by 1, 2),
+b as (select * from events where event_id % 3 <> 0 and not (event_id % 7 = 0 and event_type = 'view'))
+select (select count(*) from events where event_id % 4 = 1 and value > 20) as updated_by_update, (select count(*) from events where event_id % 7 = 0 and event_type = 'view') as deleted_by_delete,
+  (select count(*) from c where exists (select 1 from b where b.user_id = c.user_id and b.event_type = c.event_type)) as updated_by_merge,
+  (select count(*) from c where not exists (select 1 from b where b.user_id = c.user_id and b.event_type = c.event_type)) as inserted_by_merge,
+  (select count(*) from b where not exists (select 1 from c where b.user_id = c.user_id and b.event_type = c.event_type)) + (select count(*) from c) as rows_after,
+  (select round(coalesce(sum(value), 0), 4) from b where not exists (select 1 from c where b.user_id = c.user_id and b.event_type = c.event_type)) + (select round(sum(value), 4) from c) as sum_after""")
+def rows_changed(t: Tables) -> DataFrame:
+    """What an update, a delete and a merge change, and the table after the last."""
+    rows, e = t.events.select("event_id", "user_id", "event_type", "value"), F.col("event_id")
+    by_update = changes.counts(changes.update(rows, (e % 4 == 1) & (F.col("value") > 20), {"value": F.col("value") * 2}))
+    gone = changes.delete(rows, (e % 7 == 0) & (F.col("event_type") == "view"))
+    change = rows.where(e % 5 == 0).groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max("value").alias("value"))
+    merged = changes.merge(changes.result(gone).where(e % 3 != 0), change, ["user_id", "event_type"])
+    base, put = (F.round(F.coalesce(F.sum(F.when(F.col(changes.ACTION) == changes.KEPT if kept else F.col(changes.ACTION) != changes.KEPT, F.col("value"))), F.lit(0.0)), 4) for kept in (True, False))
+    after = merged.agg(F.count("*").alias("rows_after"), (base + put).alias("sum_after"))
+    named = [by_update.select(F.col("updated").alias("updated_by_update")), changes.counts(gone).select(F.col("deleted").alias("deleted_by_delete")), changes.counts(merged).select(F.col("updated").alias("updated_by_merge"), F.col("inserted").alias("inserted_by_merge"))]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [*named, after])  # one row each
+
+
+@query(r"""with x as (select event_id, case when event_id % 7 = 0 then 'n/a' when event_id % 11 = 0 then null else value::varchar end as value, case when event_id % 5 = 0 then '2024-13-01' else '2024-01-0' || (1 + event_id % 9) end as day, case when event_id % 50 = 1 then null when event_id % 50 = 2 then 0 else event_id end as row_id from events),
+n as (select row_id, count(*) as n from x group by 1)
+select event_id, case when len(e) = 0 then 'ok' else 'error' end as status, array_to_string(e, '; ') as error from (
+  select event_id, list_filter([case when value = 'n/a' then 'value: no double: n/a' end, case when day = '2024-13-01' then 'day: no date: 2024-13-01' end,
+    case when not coalesce(try_cast(value as double) >= 10, false) then 'value is 10 or more' end, case when row_id is null then 'row_id is null' end, case when row_id is not null and n > 1 then 'row_id is there ' || n || ' times' end], lambda v: v is not null) as e from x left join n using (row_id))""")
+def quarantined_rows(t: Tables) -> DataFrame:
+    """Raw values of which some are malformed: every row comes out, with what is wrong with it."""
+    e = F.col("event_id")
+    value = F.when(e % 7 == 0, "n/a").when(e % 11 != 0, F.col("value").cast("string"))
+    day = F.when(e % 5 == 0, "2024-13-01").otherwise(F.concat(F.lit("2024-01-0"), (1 + e % 9).cast("string")))
+    raw = t.events.select("event_id", value.alias("value"), day.alias("day"), F.when(e % 50 == 1, None).when(e % 50 == 2, 0).otherwise(e).alias("row_id"))
+    marked = quarantine.checked(quarantine.typed(raw, {"value": "double", "day": "date"}), {"value is 10 or more": F.col("value") >= 10})
+    keep = {"event_id": F.col("event_id")}
+    run = lambda good: good.select("event_id", F.lit("ok").alias("status"), F.lit("").alias("error"))
+    return quarantine.guarded(quarantine.unique(marked, "row_id"), run, keep)
+
+
+@query("""with k as (select case when p_partkey % 2 = 0 then p_brand end as context, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) as key, min('<' || p_size || '>') as word from part where p_partkey % 5 < 2 group by 1, 2),
+x as (select p_partkey, p_brand, split_part(p_name, ' ', 1) || ' ' || split_part(p_name, ' ', 2) as key, p_type from part)
+select p_partkey, 'at (' || coalesce(m.word, g.word, upper(x.key)) || '), ' || p_type || '!' as done from x left join k m on m.context = p_brand and m.key = x.key left join k g on g.context is null and g.key = x.key""")
+def phrases_replaced(t: Tables) -> DataFrame:
+    """Phrases of two words, some of one brand only, in texts in capitals with marks around them."""
+    key = F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(2)))
+    known = t.part.where("p_partkey % 5 < 2").select(F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("context"), key.alias("key"), F.concat(F.lit("<"), "p_size", F.lit(">")).alias("word"))
+    rows = t.part.select("p_partkey", "p_brand", F.concat(F.lit("at ("), F.upper(key), F.lit("), "), "p_type", F.lit("!")).alias("text"))
+    return phrases.replaced(rows, known, "text", "p_brand", "done").select("p_partkey", "done")
+
+
+@query("""select c_custkey, case when n_nationkey % 5 = 0 then null else 'found ' || n_name end as answer, case when n_nationkey % 5 = 0 then 'KeyError: ''no ' || n_name || '''' end as error from customer join nation on c_nationkey = n_nationkey""")
+def lookups_once(t: Tables) -> DataFrame:
+    """Each customer's nation is looked up, each nation once; every fifth lookup fails."""
+
+    def lookup(name: str) -> str:
+        if int(name.split("_")[1]) % 5 == 0:
+            raise KeyError(f"no {name}")
+        return f"found {name}"
+
+    people = t.customer.join(small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    return enrich.enrich(people, "n_name", lookup, per_second=1e6, attempts=2, with_errors=True).select("c_custkey", "answer", F.col("answer_error").alias("error"))
+
+
+@query("""with a as (select 'k' || n_nationkey % 6 as key, lower(replace(n_name, '_', ' ')) as word, case when n_nationkey % 3 > 0 then lower(r_name) end as pc, n_nationkey % 3 = 2 as d from nation join region on n_regionkey = r_regionkey),
+w as (select pc, key, min(word) as word from a where not d group by 1, 2 having pc is not null or count(distinct word) = 1)
+select c_custkey, lower(r_name) as p, coalesce(m.word, g.word, k) as d from (select c_custkey, r_name, 'k' || c_custkey % 7 as k from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey) x
+  left join w m on m.pc = lower(r_name) and m.key = k left join w g on g.pc is null and g.key = k""")
+def hints_spelled_out(t: Tables) -> DataFrame:
+    """Hints with abbreviations that mean one district in one province and another elsewhere."""
+    people = t.customer.join(small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).join(small(t.region), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = people.select("c_custkey", F.concat(F.lit("Tinh "), "r_name").alias("p"), F.concat(F.lit("K"), (F.col("c_custkey") % 7).cast("string")).alias("d"))
+    return context.hints(rows, _abbreviations(t), "p", "d").select("c_custkey", *(T.normalize_hint(F.col(c)).alias(c) for c in ("p", "d")))
+
+
+WARD = unicodedata.normalize("NFD", "Phường")
+
+
+@query(f"""with x as (select c_custkey, c_custkey % 3 as k, c_name, n_name, split_part(c_name, '#', 1) as a, split_part(c_name, '#', 2) as b from customer join nation on c_nationkey = n_nationkey)
+select c_custkey, 'so 1 ' || lower(a) || ' ' || b || ' phuong ' || lower(n_name) as words, case k when 0 then c_name when 1 then '{WARD} ' || n_name else '1, ' || c_name || ' - {WARD}' end as span,
+  case k when 0 then 'Số 1 {WARD} ' || n_name when 1 then 'Số 1 ' || a || ' ' || b else 'Số ' || n_name end as rest from x""")
+def raw_spans(t: Tables) -> DataFrame:
+    """Words found in folded texts, cut from the raw ones, whose accents are partly composed and partly not."""
+    people, k = t.customer.join(small(t.nation), F.col("c_nationkey") == F.col("n_nationkey")), F.col("c_custkey") % 3
+    text = F.concat(F.lit("Số 1, "), "c_name", F.lit(f" - {WARD} "), "n_name")
+    rows = people.select("c_custkey", text.alias("text"), N.raw_words(text).alias("w"), F.when(k == 0, 2).when(k == 1, 4).otherwise(1).alias("s"), F.when(k == 0, 4).when(k == 1, 6).otherwise(5).alias("e"))
+    return rows.select("c_custkey", F.array_join(F.transform("w", lambda x: x["t"]), " ").alias("words"), N.raw_slice(F.col("text"), F.col("w"), F.col("s"), F.col("e")).alias("span"), N.remaining_raw(F.col("w"), [(F.col("s"), F.col("e")), (F.lit(-1), F.lit(-1))]).alias("rest"))

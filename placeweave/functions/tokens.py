@@ -153,3 +153,25 @@ def remaining(tokens: Column, spans: list[tuple[Column, Column]]) -> Column:
     inside = [lambda i, s=s, e=e: F.coalesce((i >= s) & (i < e), F.lit(False)) for s, e in spans]
     keep = F.filter(indexed(tokens), lambda x: ~reduce(lambda a, b: a | b, (f(x["i"]) for f in inside)))
     return F.array_join(F.transform(keep, lambda x: x["t"]), " ")
+
+
+def raw_words(c: Column) -> Column:
+    """The words of a raw text with their places in it: array<struct<i, t, raw, start, end>>, where ``t`` is the word in lower case
+    without accents, composed or not, and start and end are code points, end exclusive. For texts of an address's length."""
+    found, gaps = F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0)), F.split(c, r"(?U)\w+", -1)
+    sizes = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda w, gap: F.struct(F.length(gap).alias("gap"), F.length(w).alias("own")))
+    ends = F.aggregate(sizes, F.array().cast("array<int>"), lambda done, x: F.array_append(done, F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0)) + x["gap"] + x["own"]))
+    plain = lambda w: F.lower(T.fold_accents(F.regexp_replace(w, r"\p{Mn}", "")))
+    return F.transform(F.arrays_zip(found.alias("raw"), ends.alias("end")), lambda x, i: F.struct(i.alias("i"), plain(x["raw"]).alias("t"), x["raw"].alias("raw"), (x["end"] - F.length(x["raw"])).alias("start"), x["end"].alias("end")))
+
+
+def raw_slice(c: Column, tokens: Column, start: Column, end: Column) -> Column:
+    """The raw text from the word ``start`` to before the word ``end``, with what stands between them; null if there are no such words."""
+    first, last = F.try_element_at(tokens, start + 1), F.try_element_at(tokens, end)
+    return F.when((start >= 0) & (end > start), F.substring(c, first["start"] + 1, last["end"] - first["start"]))
+
+
+def remaining_raw(tokens: Column, spans: list[tuple[Column, Column]]) -> Column:
+    """The raw words outside all spans of word places (start, end; negative: none), by single spaces, as they are written."""
+    outside = reduce(lambda a, b: lambda x: a(x) & ((b[0] < 0) | (x["i"] < b[0]) | (x["i"] >= b[1])), spans, lambda x: F.lit(True))
+    return F.array_join(F.transform(F.filter(tokens, outside), lambda x: x["raw"]), " ")

@@ -6,37 +6,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placeweave.functions import text as T
-from placeweave.operators.gazetteer import abbreviations_by_province
-from placeweave.plans.stages import SMALL, small
+from placeweave.operators.phrases import replaced
+from placeweave.plans.stages import small
 
 ADDED = ("normalized", "province_context", "district_context", "iterations")
 
 
-def _spelled_out(text: Column, own: str, every: str) -> Column:
-    """Abbreviations of several words, the longest first, then single ones; those of the context before global ones."""
-    mine, common = F.col(f"{own}.phrases"), F.col(f"{every}.phrases")
-    none = F.array().cast("array<struct<key:string,word:string>>")
-    taken = F.transform(F.coalesce(mine, none), lambda x: x["key"])
-    phrases = F.concat(F.coalesce(mine, none), F.filter(F.coalesce(common, none), lambda x: ~F.array_contains(taken, x["key"])))
-    longest = F.array_sort(F.transform(phrases, lambda x: F.struct((-F.length(x["key"])).alias("n"), x["key"].alias("key"), x["word"].alias("word"))))
-    quoted = lambda x: F.concat(F.lit("(?iU)\\b\\Q"), x["key"], F.lit("\\E\\b"))
-    text = F.aggregate(longest, text, lambda acc, x: F.regexp_replace(acc, quoted(x), x["word"]))
-    entry = lambda side, t: F.try_element_at(F.col(f"{side}.words"), T.clean_token(t))
+def _single_words(text: Column, own: str, every: str) -> Column:
+    """Abbreviations of one word; those of the context before global ones."""
+    entry = lambda side, t: F.try_element_at(F.col(side), T.clean_token(t))
     return F.array_join(F.transform(F.split(T.collapse(text), " "), lambda t: F.coalesce(entry(own, t), entry(every, t), t)), " ")
 
 
 def expanded(df: DataFrame, abbreviations: DataFrame, text: str, province: str, out: str = "expanded") -> DataFrame:
     """Adds ``text`` (in lower case, level words spelled out) with the abbreviations that hold in the province, or everywhere.
 
-    The table of abbreviations is broadcast as one map a province; it is counted first, and more than ``SMALL`` rows are an error.
+    Those of several words are looked up by a join (``phrases.replaced``), whatever their number, and before those of one word. These
+    are maps, one a province, broadcast if all their entries were counted to be few, and joined otherwise.
     """
-    if abbreviations.limit(SMALL + 1).count() > SMALL:
-        raise ValueError(f"more than {SMALL} abbreviations")
-    maps = abbreviations_by_province(abbreviations).select("context", F.struct("words", "phrases").alias("entries"))
-    own = maps.where("context is not null").select(F.col("context").alias("context__"), F.col("entries").alias("own__"))
-    every = maps.where("context is null").select(F.col("entries").alias("every__"))  # one row at most
-    rows = df.join(small(own), F.col(province) == F.col("context__"), "left").join(F.broadcast(every), F.lit(True), "left")
-    return rows.select(*df.columns, _spelled_out(F.col(text), "own__", "every__").alias(out))
+    several = F.contains("key", F.lit(" "))
+    words = _in_force(abbreviations)
+    phrases = words.where(several).select("context", "key", "word")
+    maps = words.where(~several).groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("key", "word"))).alias("words"))
+    own = maps.where("context is not null").select(F.col("context").alias("context__"), F.col("words").alias("own__"))
+    every = maps.where("context is null").select(F.col("words").alias("every__"), F.lit(True).alias("all__"))  # one row at most
+    rows = replaced(df, phrases, text, province, "phrased__")
+    rows = rows.join(small(own, of=words), F.col(province) == F.col("context__"), "left").withColumn("any__", F.lit(True))
+    rows = rows.join(small(every, of=words), F.col("any__") == F.col("all__"), "left")
+    return rows.select(*df.columns, _single_words(F.col("phrased__"), "own__", "every__").alias(out))
+
+
+def _in_force(abbreviations: DataFrame) -> DataFrame:
+    """(context, key, word) of each province, and of the null context those with one meaning; those of a district are left out."""
+    a = abbreviations.where("district_context is null and key is not null and word is not null")
+    words = a.groupBy(F.col("province_context").alias("context"), "key").agg(F.min("word").alias("word"), F.countDistinct("word").alias("n"))
+    return words.where("context is not null or n = 1").select("context", "key", "word")
+
+
+def hints(df: DataFrame, abbreviations: DataFrame, province: str | None = None, district: str | None = None) -> DataFrame:
+    """The hint columns in lower case with abbreviations spelled out: a province's by those that hold everywhere, a district's by those
+    of the province that the first hint names as well. Nulls stay null."""
+    rows = df.withColumn("in__", F.lit(None).cast("string"))
+    for hint in filter(None, (province, district)):
+        rows = rows.withColumn("hint__", F.lower(T.nfc(F.col(hint))))
+        rows = expanded(rows, abbreviations, "hint__", "in__", "out__")
+        rows = rows.select(*(F.col("out__").alias(c) if c == hint else c for c in df.columns), "in__")
+        if hint == province:
+            rows = rows.withColumn("in__", T.normalize_hint(F.col(hint)))
+    return rows.select(*df.columns)
 
 
 def iterative(df: DataFrame, abbreviations: DataFrame, address: str = "address", province_hint: str | None = None, district_hint: str | None = None) -> DataFrame:

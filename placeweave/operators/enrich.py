@@ -1,4 +1,4 @@
-"""Geocoder answers as candidates; requests go through a pluggable lookup, limited per partition."""
+"""Geocoder answers as candidates; requests go through a pluggable lookup, limited over the whole job, each query once."""
 
 from __future__ import annotations
 
@@ -6,10 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placeweave.functions import text as T
+from placeweave.plans.stages import staged
 
 NOMINATIM = "struct<lat:string,lon:string,display_name:string,importance:double,address:map<string,string>>"
 DETAIL = "struct<status:string,result:struct<place_id:string,name:string,formatted_address:string,geometry:struct<location:struct<lat:double,lng:double>>,address_components:array<struct<long_name:string,short_name:string,types:array<string>>>>>"
@@ -75,21 +76,51 @@ def enhanced(df: DataFrame, lookup: Callable[[str], str | None], address: str =
     return place_candidates(enrich(asked, "query", lookup, per_second)).where("place_rank = 1")
 
 
-def enrich(df: DataFrame, query: str, lookup: Callable[[str], str | None], per_second: float = 1.0) -> DataFrame:
-    """Adds ``answer``: what ``lookup`` returns for each query, at most so many calls a second and partition; errors give null."""
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + ["answer string"])
+def enrich(df: DataFrame, query: str, lookup: Callable[[str], str | None], per_second: float = 1.0, cache: str | None = None, tasks: int = 1, attempts: int = 3, with_errors: bool = False) -> DataFrame:
+    """Adds ``answer``: what ``lookup`` returns for each query (null where it has none, or fails); ``with_errors`` adds
+    ``answer_error``: why it failed.
+
+    Each distinct query is asked once, by ``tasks`` tasks that share the ``per_second`` calls of the whole job; a failing call is tried
+    ``attempts`` times, each time after a pause twice as long. Answers are written before they are joined, so no retry of a later task
+    asks again; with ``cache``, a folder, they are kept there, and a query that has an answer there (or is known to have none) is not
+    asked in later jobs either. Null queries are not asked.
+    """
+    asked = df.select(F.col(query).alias("query__")).where("query__ is not null").distinct()
+    spark, kept = df.sparkSession, None
+    if cache and _exists(spark, cache):
+        kept = spark.read.schema(CACHED).parquet(cache).where("error is null").select("query", "answer", "error")
+        asked = asked.join(kept.select(F.col("query").alias("query__")), "query__", "left_anti")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = 0.0
+        pause, last = tasks / per_second, float("-inf")
         for batch in batches:
-            answers = []
-            for q in batch[query]:
-                time.sleep(max(0.0, last + 1 / per_second - time.monotonic()))
-                last = time.monotonic()
-                try:
-                    answers.append(lookup(q))
-                except Exception:  # noqa: BLE001  (one bad answer fails no batch)
-                    answers.append(None)
-            yield batch.assign(answer=answers)
-
-    return df.mapInPandas(run, schema)
+            rows = []
+            for q in batch["query__"]:
+                for attempt in range(attempts):
+                    wait = pause * (2**attempt if attempt else 1)
+                    time.sleep(max(0.0, last + wait - time.monotonic()))
+                    last = time.monotonic()
+                    try:
+                        answer, error = lookup(q), None
+                        break
+                    except Exception as e:  # noqa: BLE001  (one bad answer fails no batch)
+                        answer, error = None, f"{type(e).__name__}: {e}"
+                rows.append((q, answer, error, attempt + 1))
+            yield pd.DataFrame(rows, columns=["query", "answer", "error", "calls"])
+
+    fresh = staged(asked.repartition(tasks).mapInPandas(run, CACHED), "answers")
+    if cache:
+        fresh.write.mode("append").parquet(cache)
+    fresh = fresh.select("query", "answer", "error")
+    every = fresh if kept is None else fresh.union(kept.join(df.select(F.col(query).alias("query")).distinct(), "query", "left_semi"))
+    every = every.groupBy("query").agg(F.min(F.struct(F.col("error").isNotNull().alias("bad"), "answer", "error")).alias("found"))
+    found = every.select(F.col("query").alias("asked__"), F.col("found.answer").alias("answer"), F.col("found.error").alias("answer_error"))
+    return df.join(found, F.col(query) == F.col("asked__"), "left").select(*df.columns, "answer", *(["answer_error"] if with_errors else []))
+
+
+CACHED = "query string, answer string, error string, calls int"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -129,17 +129,6 @@ def abbreviation_map(abbreviations: DataFrame, province: str | None = None, dist
     return words.groupBy("key").agg(F.max_by("word", "rank").alias("word"))
 
 
-def abbreviations_by_province(abbreviations: DataFrame) -> DataFrame:
-    """(context, words, phrases) for each province context, and for null the global ones that have one meaning: abbreviations of one
-    word as a map, those of several as an array<struct<key, word>>. Those of a district are left out."""
-    a = abbreviations.where("district_context is null and key is not null and word is not null")
-    words = a.groupBy(F.col("province_context").alias("context"), "key").agg(F.min("word").alias("word"), F.countDistinct("word").alias("n"))
-    words = words.where("context is not null or n = 1").withColumn("several", F.contains("key", F.lit(" ")))
-    pair = F.struct("key", "word")
-    lists = words.groupBy("context").agg(F.collect_list(F.when(~F.col("several"), pair)).alias("one"), F.array_sort(F.collect_list(F.when(F.col("several"), pair))).alias("phrases"))
-    return lists.select("context", F.map_from_entries("one").alias("words"), "phrases")
-
-
 def abbreviation_at(rows: DataFrame, abbreviations: DataFrame) -> DataFrame:
     """Lookup of (key, province_context, district_context), nulls equal."""
     a = abbreviations.groupBy("key", "province_context", "district_context").agg(F.min("word").alias("word")).alias("a")
@@ -169,18 +158,24 @@ def migration_priority(note: Column) -> Column:
 
 
 def migrations_of(rows: DataFrame, migrations: DataFrame, key: str = "row_id") -> DataFrame:
-    """Adds new_addresses: a ward's migrations, else (no ward given) its district's, else its province's; compared in lower case."""
+    """Adds new_addresses: a ward's migrations, else (no ward given) its district's, else its province's; compared in lower case.
+
+    They are in the order of their note's priority, new ward (null first), new province and note. What a province's rows get is the
+    same for all of them: its distinct notes are put in order once and only then joined.
+    """
     old = {c: F.lower(F.col(f"old_{c}")) for c in ("province", "district", "ward")}
     own = {"province": F.lower("p_full"), "district": F.lower(F.nullif("d_full", F.lit(""))), "ward": F.lower(F.nullif("w_full", F.lit("")))}
     keyed = rows.select(key, *(c.alias(f"own_{n}") for n, c in own.items()))
     m = migrations.select(*(c.alias(n) for n, c in old.items()), "new_province", "new_ward", "note")
     by_ward = keyed.where("own_ward is not null").join(m, (F.col("own_ward") == F.col("ward")) & (F.col("own_district") == F.col("district")) & (F.col("own_province") == F.col("province"))).select(key, "new_province", "new_ward", "note")
     by_district = keyed.where("own_ward is null and own_district is not null").join(m, (F.col("own_district") == F.col("district")) & (F.col("own_province") == F.col("province"))).select(key, "new_province", "new_ward", "note")
-    by_province = keyed.where("own_ward is null and own_district is null").join(m, F.col("own_province") == F.col("province")).select(key, "new_province", F.lit(None).cast("string").alias("new_ward"), "note").distinct()
     item = F.struct(migration_priority(F.col("note")).alias("priority"), "new_ward", "new_province", "note")
-    lists = by_ward.union(by_district).union(by_province).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("new_addresses"))
+    lists = by_ward.union(by_district).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("new_addresses"))
+    whole = m.select("province", "new_province", F.lit(None).cast("string").alias("new_ward"), "note").groupBy("province").agg(F.array_sort(F.collect_set(item)).alias("new_addresses"))
+    by_province = keyed.where("own_ward is null and own_district is null").join(small(whole, of=m), F.col("own_province") == F.col("province")).select(key, "new_addresses")
     empty = F.array().cast("array<struct<priority:int,new_ward:string,new_province:string,note:string>>")
-    return rows.join(lists, key, "left").withColumn("new_addresses", F.transform(F.coalesce("new_addresses", empty), lambda x: F.struct(x["new_province"].alias("new_province"), x["new_ward"].alias("new_ward"), x["note"].alias("note"))))
+    out = rows.join(lists.union(by_province), key, "left")
+    return out.withColumn("new_addresses", F.transform(F.coalesce("new_addresses", empty), lambda x: F.struct(x["new_province"].alias("new_province"), x["new_ward"].alias("new_ward"), x["note"].alias("note"))))
 
 
 def whole_or_partial(migrations: DataFrame) -> DataFrame:

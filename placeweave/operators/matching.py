@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from placeweave import constants as K
 from placeweave.functions import similarity as S
 from placeweave.operators.gazetteer import postings
+from placeweave.operators.similar import similar
 from placeweave.plans.stages import staged
 
 
@@ -23,7 +25,7 @@ def best_matches(queries: DataFrame, names: DataFrame, scope: tuple[str, ...], n
     """The best names for each distinct (scope, ngram): equal ones score 1; where there is none, the most similar at or above the
     threshold, ties kept. ``extra`` multiplies fuzzy scores before the threshold (1 at most after it).
 
-    Names meet n-grams by an equi-join on the scope; the similarity bound is a cheap residual of that join.
+    N-grams without an equal name meet only those of their scope that ``similar`` finds; an empty scope is one for all.
     """
     keys = [*scope, ngram]
     plain = queries.select(*dict.fromkeys([*keys, *([] if extra is None else ["mult"])])).distinct()
@@ -31,7 +33,8 @@ def best_matches(queries: DataFrame, names: DataFrame, scope: tuple[str, ...], n
     exact = plain.join(dim, [*(plain[c] == dim[c] for c in scope), plain[ngram] == dim["match"]]).select(*(plain[c] for c in plain.columns), "match", F.lit(1.0).alias("score"), F.lit(True).alias("exact"))
     rest = plain.join(exact.select(*keys).distinct(), keys, "left_anti")
     lowest = threshold if extra is None else threshold / 1.1
-    pairs = rest.join(dim, list(scope)).where(S.within(F.col(ngram), F.col("match"), lowest, context))
+    bonus = K.SUBSTRING_BONUS_CONTEXT if context else K.SUBSTRING_BONUS
+    pairs = rest.join(similar(rest, dim, scope, ngram, "match", lowest, bonus), keys)
     score = S.ensemble(F.col(ngram), F.col("match"), context)
     score = score if extra is None else score * extra
     fuzzy = pairs.select(*(F.col(c) for c in plain.columns), "match", score.alias("score"), F.lit(False).alias("exact")).where(F.col("score") >= threshold)
@@ -43,8 +46,8 @@ def street_lookup(rows: DataFrame, streets: DataFrame, text: str = "text", thres
     """The street of each row (keyed by row_id) within its district, or its province if the district is null: equal, else the most
     similar at or above the threshold, the smallest id first among equals.
 
-    Each distinct (province, district, text) is looked up once; only those without an equal street meet the others of their scope,
-    and of these only such as can reach the threshold are scored. Null texts and provinces find nothing.
+    Each distinct (province, district, text) is looked up once; only those without an equal street meet others of their scope, and of
+    these only such as ``similar`` finds. Null texts and provinces find nothing.
     """
     named = streets.where("d is not null").groupBy("p", "d", "street").agg(F.min("id").alias("id"))
     whole = streets.groupBy("p", "street").agg(F.min("id").alias("id")).withColumn("d", F.lit(None).cast("string"))
@@ -54,7 +57,10 @@ def street_lookup(rows: DataFrame, streets: DataFrame, text: str = "text", thres
     low = lambda c: F.lower(F.trim(c))
     exact = asked.join(dim, scope & (F.col("text__") == F.col("street")), "left").select("p", "d", "text__", "street", F.when(F.col("street").isNotNull(), 1.0).alias("street_score"))
     exact = staged(exact, "streets")
-    near = exact.where("street is null").drop("street").join(dim, scope & S.within(low("text__"), low("street"), threshold))
+    place = lambda p, d: F.concat_ws("\0", p, F.isnull(d).cast("string"), d)
+    missed = exact.where("street is null and p is not null").drop("street").withColumns({"place__": place("p", "d"), "low__": low("text__")})
+    known = dim.where("p__ is not null").withColumns({"place__": place("p__", "d__"), "name__": low("street")})
+    near = missed.join(similar(missed, known, ("place__",), "low__", "name__", threshold), ["place__", "low__"]).join(known, ["place__", "name__"])
     near = near.withColumn("street_score", S.ensemble(F.col("text__"), F.col("street"))).where(F.col("street_score") >= threshold)
     best = near.groupBy("p", "d", "text__").agg(F.min_by(F.struct("street", "street_score"), F.struct(-F.col("street_score"), F.col("id"))).alias("best"))
     found = exact.where("street is not null").unionByName(best.select("p", "d", "text__", "best.*"))

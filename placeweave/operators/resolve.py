@@ -20,6 +20,7 @@ from placeweave.functions import similarity as S
 from placeweave.functions import text as T
 from placeweave.functions import tokens as N
 from placeweave.operators import gazetteer as G
+from placeweave.operators.context import hints
 from placeweave.operators.matching import best_matches
 from placeweave.plans.stages import small, spread, staged
 
@@ -41,7 +42,8 @@ def _exploded(df: DataFrame, items: str, keep: list[str], most: int = 3) -> Data
     return grams.where((F.col("n") <= most) | ((F.col("n") == 4) & four))
 
 
-def _top(df: DataFrame, by: list[str], order: list[Column], k: int, ordinal: str) -> DataFrame:
+def top(df: DataFrame, by: list[str], order: list[Column], k: int, ordinal: str) -> DataFrame:
+    """The first ``k`` rows of each group in order, numbered: Spark keeps no more than these of a group before it shuffles."""
     return df.withColumn(ordinal, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(ordinal) <= k)
 
 
@@ -76,7 +78,7 @@ def _maps(abbreviations: DataFrame, levels: list[str]) -> DataFrame:
 
 def provinces(rows: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     """Up to five province candidates: row_id, p, p_score, p_source, ps, pe, p_ord."""
-    dims = gaz.names("p").select("p").withColumnRenamed("p", "name").withColumn("one", F.lit(1))
+    dims = gaz.names("p").select(F.col("p").alias("name"))
     grams = staged(_exploded(rows.withColumn("len", F.size("tokens")), "tokens", ["row_id", "hp", "seg", "len"]), "grams")
     hinted = grams.where("hp is not null").withColumn("hit", S.ensemble(F.col("ngram"), F.col("hp")))
     hinted = hinted.where((F.col("hit") >= K.HINT_THRESHOLD) & ~F.col("ngram").rlike(r"^\d+$"))
@@ -87,27 +89,27 @@ def provinces(rows: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     short = free.where((F.col("n") <= 2) & (F.length("ngram") >= 2) & ~F.col("ngram").rlike(r"^\d+$"))
     abbr = G.province_candidates(short.withColumnRenamed("ngram", "key"), gaz.abbreviations).join(small(dims.select(F.col("name").alias("word"))), "word")
     abbr = abbr.select("row_id", F.col("word").alias("p"), F.when(F.col("s") >= F.col("len") - 3, 0.95).otherwise(0.85).alias("p_score"), F.lit("abbreviation").alias("p_source"), F.col("s").alias("ps"), F.col("e").alias("pe"), F.lit(False).alias("exact"))
-    full = free.where(~F.col("ngram").rlike(r"^\d+$") & ~F.arrays_overlap(F.split("ngram", " "), F.array(*map(F.lit, K.NOISE_WORDS)))).withColumn("one", F.lit(1))
+    full = free.where(~F.col("ngram").rlike(r"^\d+$") & ~F.arrays_overlap(F.split("ngram", " "), F.array(*map(F.lit, K.NOISE_WORDS))))
     full = full.withColumn("mult", F.when(F.col("e") == F.col("len"), F.greatest(F.lit(1.0), N.delimiter_score(F.col("seg"), F.col("s"), F.col("e")))).otherwise(N.delimiter_score(F.col("seg"), F.col("s"), F.col("e"))))
-    hits = best_matches(full, small(dims), ("one",), extra=F.col("mult"))
-    found = full.join(hits, ["one", "ngram", "mult"]).select("row_id", F.col("match").alias("p"), F.col("score").alias("p_score"), F.when(F.col("e") == F.col("len"), "rightmost").otherwise("full_scan").alias("p_source"), F.col("s").alias("ps"), F.col("e").alias("pe"), "exact")
+    hits = best_matches(full, dims, (), extra=F.col("mult"))
+    found = full.join(hits, ["ngram", "mult"]).select("row_id", F.col("match").alias("p"), F.col("score").alias("p_score"), F.when(F.col("e") == F.col("len"), "rightmost").otherwise("full_scan").alias("p_source"), F.col("s").alias("ps"), F.col("e").alias("pe"), "exact")
     rank = F.element_at(F.create_map(*(F.lit(x) for pair in (("known_and_in_text", 4), ("known", 3), ("abbreviation", 2), ("rightmost", 1), ("full_scan", 0)) for x in pair)), F.col("p_source"))
     both = known.union(abbr).union(found).withColumn("rank", rank)
-    best = _top(both, ["row_id", "p"], [F.desc("p_score"), F.desc("rank"), *_nearest("ps", "pe")], 1, "n").drop("n", "exact")
+    best = top(both, ["row_id", "p"], [F.desc("p_score"), F.desc("rank"), *_nearest("ps", "pe")], 1, "n").drop("n", "exact")
     named = F.max(F.col("p_source").isin("rightmost", "known_and_in_text")).over(Window.partitionBy("row_id"))
     best = best.withColumn("p_score", F.when(named & (F.col("p_source") == "abbreviation"), F.col("p_score") * 0.9).otherwise(F.col("p_score")))
-    return _top(best, ["row_id"], [F.desc("p_score"), F.desc("rank"), "p"], K.PROVINCE_BEAM, "p_ord").drop("rank")
+    return top(best, ["row_id"], [F.desc("p_score"), F.desc("rank"), "p"], K.PROVINCE_BEAM, "p_ord").drop("rank")
 
 
 def inferred_provinces(rows: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     """Provinces of districts that rows without any province name: the same columns, no span."""
-    dims = gaz.names("d").select(F.col("d").alias("name")).distinct().withColumn("one", F.lit(1))
-    grams = _exploded(rows, "tokens", ["row_id"]).where((F.length("ngram") >= 3) & ~F.col("ngram").rlike(r"^\d+$")).withColumn("one", F.lit(1))
-    hits = grams.join(best_matches(grams, small(dims), ("one",)), ["one", "ngram"]).groupBy("row_id", F.col("match").alias("d")).agg(F.max("score").alias("score"))
+    dims = gaz.names("d").select(F.col("d").alias("name")).distinct()
+    grams = _exploded(rows, "tokens", ["row_id"]).where((F.length("ngram") >= 3) & ~F.col("ngram").rlike(r"^\d+$"))
+    hits = grams.join(best_matches(grams, dims, ()), ["ngram"]).groupBy("row_id", F.col("match").alias("d")).agg(F.max("score").alias("score"))
     up = G.parents(gaz.divisions, ("d",), "p").select("d", "p")
     found = hits.join(small(up), "d").groupBy("row_id", "p").agg(F.max("score").alias("score"))
     out = found.select("row_id", "p", (F.col("score") * K.INHERIT_PENALTY).alias("p_score"), F.lit("inferred").alias("p_source"), F.lit(-1).alias("ps"), F.lit(-1).alias("pe"))
-    return _top(out, ["row_id"], [F.desc("p_score"), "p"], K.PROVINCE_BEAM, "p_ord")
+    return top(out, ["row_id"], [F.desc("p_score"), "p"], K.PROVINCE_BEAM, "p_ord")
 
 
 def _numbers(grams: DataFrame) -> DataFrame:
@@ -137,7 +139,7 @@ def districts(branches: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     dims = gaz.names("d").select("p", F.col("d").alias("name"))
     hits = grams.join(best_matches(grams.select("p", "ngram"), dims, ("p",)), ["p", "ngram"]).where("exact or not number")
     named = hits.select(*keys, F.col("match").alias("d"), (F.col("score") * F.col("bonus")).alias("d_score"), F.lit("fuzzy").alias("d_source"), F.col("s").alias("ds"), F.col("e").alias("de"), "exact")
-    named = _top(named, [*keys, "d"], [F.desc("d_score"), *_nearest("ds", "de")], 1, "n").drop("n", "exact")
+    named = top(named, [*keys, "d"], [F.desc("d_score"), *_nearest("ds", "de")], 1, "n").drop("n", "exact")
     direct = staged(_placed(fixed.union(named), keys, "d_score", "ds"), "direct")
     none = open_.join(direct.select(*keys).distinct(), keys, "left_anti")
     wards = gaz.names("w").select("p", "d", F.col("w").alias("name"))
@@ -150,11 +152,11 @@ def districts(branches: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     by_word = by_word.select(*keys, "match", (F.col("score") * K.EXPLICIT_BONUS * K.INHERIT_PENALTY).alias("w_score"), F.lit(0.95 * K.INHERIT_PENALTY).alias("d_score"), F.lit("inferred_from_explicit_ward").alias("d_source"), "s", "e", "exact")
     up = G.parents(gaz.divisions, ("p", "w"), "d").select("p", F.col("w").alias("match"), "d")
     inferred = by_gram.union(by_word).join(up, ["p", "match"])
-    inferred = _top(inferred, [*keys, "d"], [F.desc("d_score"), F.desc("w_score"), "match", *_nearest("s", "e")], 1, "n")
+    inferred = top(inferred, [*keys, "d"], [F.desc("d_score"), F.desc("w_score"), "match", *_nearest("s", "e")], 1, "n")
     inferred = inferred.select(*keys, "d", "d_score", "d_source", F.lit(-1).alias("ds"), F.lit(-1).alias("de"), F.col("match").alias("w"), "w_score", F.col("s").alias("ws"), F.col("e").alias("we"))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("w", "string"), ("w_score", "double"), ("ws", "int"), ("we", "int"))]
     every = direct.select(*keys, "d", "d_score", "d_source", "ds", "de", *nothing).unionByName(inferred)
-    return _top(every, keys, [F.desc("d_score"), F.desc_nulls_last("w_score"), "d"], K.DISTRICT_BEAM, "d_ord")
+    return top(every, keys, [F.desc("d_score"), F.desc_nulls_last("w_score"), "d"], K.DISTRICT_BEAM, "d_ord")
 
 
 def wards(branches: DataFrame, gaz: G.Gazetteer) -> DataFrame:
@@ -171,9 +173,9 @@ def wards(branches: DataFrame, gaz: G.Gazetteer) -> DataFrame:
     said = said.where("not (s < pe and e > ps) and not (s < de and e > ds)")
     by_word = said.join(best_matches(said.select("p", "d", "ngram"), dims, ("p", "d"), threshold=K.EXPLICIT_THRESHOLD), ["p", "d", "ngram"])
     by_word = by_word.select(*keys, F.col("match").alias("w"), (F.col("score") * K.EXPLICIT_BONUS).alias("w_score"), F.lit(3).alias("rank"), F.col("s").alias("ws"), F.col("e").alias("we"), "exact")
-    best = _top(near.union(by_word), [*keys, "w"], [F.desc("rank"), F.desc("w_score"), *_nearest("ws", "we")], 1, "n").drop("n", "exact")
+    best = top(near.union(by_word), [*keys, "w"], [F.desc("rank"), F.desc("w_score"), *_nearest("ws", "we")], 1, "n").drop("n", "exact")
     best = _placed(best, keys, "w_score", "ws")
-    return _top(best, keys, [F.desc("w_score"), F.desc("rank"), "w"], K.WARD_BEAM, "w_ord").drop("rank")
+    return top(best, keys, [F.desc("w_score"), F.desc("rank"), "w"], K.WARD_BEAM, "w_ord").drop("rank")
 
 
 def candidates(rows: DataFrame, gaz: G.Gazetteer, strict_compat: bool = False) -> DataFrame:
@@ -197,7 +199,7 @@ def candidates(rows: DataFrame, gaz: G.Gazetteer, strict_compat: bool = False) -
     any_valid = F.max("valid").over(Window.partitionBy("row_id"))
     every = every.withColumn("any_valid", any_valid).where("valid or not any_valid").drop("any_valid")
     ords = [F.asc_nulls_last("p_ord"), F.asc_nulls_last("d_ord"), F.asc_nulls_last("w_ord")]
-    every = _top(every, ["row_id"], [F.desc("combined"), *ords], K.FINAL_BEAM, "cand_ord")
+    every = top(every, ["row_id"], [F.desc("combined"), *ords], K.FINAL_BEAM, "cand_ord")
     real = (F.col("match_level") == 3) if strict_compat else F.lit(True)
     every = every.withColumn("at_rule", F.when(real, F.col("match_level")).otherwise(0)).withColumn("source", F.when(real, "db_exact_match").otherwise("")).withColumn("match_type", F.when(real, "exact").otherwise("fallback"))
     score = C.confidence(F.col("p_score"), F.coalesce("d_score", F.lit(0.0)), F.coalesce("w_score", F.lit(0.0)), F.col("at_rule"), F.col("valid"), F.col("source"))
@@ -210,7 +212,11 @@ def candidates(rows: DataFrame, gaz: G.Gazetteer, strict_compat: bool = False) -
 
 
 def resolve(df: DataFrame, gaz: G.Gazetteer, address: str = "address", province_hint: str | None = None, district_hint: str | None = None, row_id: str = "row_id", strict_compat: bool = False) -> DataFrame:
-    """One row for each row of ``df`` (unique ``row_id``): the winner's names, codes, leftovers, scores, quality and new addresses."""
+    """One row for each row of ``df`` (unique ``row_id``): the winner's names, codes, leftovers, scores, quality and new addresses.
+
+    Abbreviations in hints are spelled out first; those in addresses are matched as they are."""
+    if province_hint or district_hint:
+        df = hints(df, gaz.abbreviations, province_hint, district_hint)
     rows = staged(prepare(spread(df, row_id), address, province_hint, district_hint, row_id), "addresses")
     best = staged(candidates(rows, gaz, strict_compat).where("cand_rank = 1"), "winners")
     out = rows.select("row_id", "raw", "norm", "tokens").join(best, "row_id", "left")

@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from placeweave.operators import quarantine
 from placeweave.operators.context import iterative
 from placeweave.operators.gazetteer import Gazetteer
 from placeweave.operators.matching import street_lookup
@@ -54,7 +55,11 @@ class AddressPipeline:
         return out
 
     def process_batch(self, df: DataFrame, **columns: str) -> DataFrame:
-        return resolve(df, self.gazetteer, strict_compat=self.strict_compat, **columns)
+        """A row out for each row in. Rows without an id, with one that others have too, or with ``errors`` from an earlier check are not
+        resolved: their status is ``error``, as that of one address that fails."""
+        key, address = columns.get("row_id", "row_id"), columns.get("address", "address")
+        keep = {"row_id": F.col(key), "raw_input": F.col(address), "quality_flag": F.lit("failed")}
+        return quarantine.guarded(quarantine.unique(df, key), lambda good: resolve(good, self.gazetteer, strict_compat=self.strict_compat, **columns), keep)
 
 
 def status_counts(results: DataFrame) -> DataFrame:

@@ -46,9 +46,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 SMALL = 500_000
 
 
-def small(df: DataFrame, bound: int = SMALL) -> DataFrame:
-    """``df`` marked for broadcast if it was counted to have ``bound`` rows at most; as it is otherwise, so that joins with it shuffle."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def small(df: DataFrame, bound: int = SMALL, of: DataFrame | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it was counted to have ``bound`` rows at most (or ``of``: the rows that its lists are made of); as
+    it is otherwise, so that joins with it shuffle."""
+    return F.broadcast(df) if (df if of is None else of).limit(bound + 1).count() <= bound else df
 
 
 @atexit.register
