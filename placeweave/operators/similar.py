@@ -91,10 +91,10 @@ def _near(queries: DataFrame, names: DataFrame, scope: list[str], reach: DataFra
 
 
 def _by_deletions(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Texts and names under a common key whose rests are equal without ``most`` characters, or fewer, of each."""
+    """Texts and names under a common key whose rests are equal without as many characters of each as there may be edits, or fewer."""
 
-    def shortened(df: DataFrame, own: str) -> DataFrame:
-        now = df.select(*keys, own, "most", F.col("rest").alias("left_over"))
+    def shortened(df: DataFrame, own: str, edits: str) -> DataFrame:
+        now = df.select(*keys, own, F.col(edits).alias("most"), F.col("rest").alias("left_over"))
         every = now
         for n in range(1, FEW + 1):
             now = now.where((F.col("most") >= n) & (F.col("left_over") != "")).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("left_over"))))
@@ -103,7 +103,7 @@ def _by_deletions(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFra
             every = every.union(now)
         return every.select(*keys, own, "left_over").distinct()
 
-    return shortened(left, "a").join(shortened(right, "b"), [*keys, "left_over"])
+    return shortened(left, "a", "edits").join(shortened(right, "b", "most"), [*keys, "left_over"])
 
 
 def _inside(queries: DataFrame, names: DataFrame, scope: list[str], lengths: DataFrame, by_length: Callable, least: float) -> DataFrame:
