@@ -15,6 +15,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _made: list[tuple[SparkSession, str]] = []
+#: Bytes of an Arrow batch on its way to a Python worker, for ``lean``.
+BATCH, BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+DEFAULT_BATCH = ("67108864b", "67108864", "64m", None)
+
+
+def lean(spark: SparkSession) -> SparkSession:
+    """The session with small Arrow batches, where it leaves Spark's default: rows of texts differ a thousandfold in length, and a batch
+    stands in the executor's native memory (with room for as much again while it grows) and in its worker."""
+    if spark.conf.get(BATCH_KEY, None) in DEFAULT_BATCH:
+        spark.conf.set(BATCH_KEY, str(BATCH))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from placeweave.llm.common import saved
 
 #: Links that one contraction holds in memory.
-CHUNK = 1 << 19
+CHUNK = 1 << 17
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -107,28 +107,18 @@ def mix(keyed: DataFrame, doc_id: str = "doc_id", cap: int = CAP, weights: tuple
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """Documents as the mix takes them: a row per epoch, a boundary document cut after its last word taken; columns stay.
+    """Documents as the mix takes them: a row for each time, whole, with its columns as they are.
 
-    A document of which the mix takes nothing goes; so does one without words.
+    The document at a source's boundary, of which ``mix`` takes some words, is taken whole if these are half of it or more, and left
+    otherwise; so a source misses its target by half a document at most. A document of which the mix takes nothing goes; so does
+    one without words.
     """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
     rows = mix(saved(with_keys(docs.select(whole, "doc_id", "text", "source")).drop("text"), "keyed"))
     extra = F.col("taken") - F.col("epochs") * F.col("size")
-    copies = F.when(F.col("size") > 0, F.sequence(F.lit(1), F.col("epochs").cast("int") + F.when(extra > 0, 1).otherwise(0))).otherwise(F.array().cast("array<int>"))
-    copies = F.when(F.col("taken") > 0, copies).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("copy", F.explode(copies))
-    cut = (F.col("copy") > F.col("epochs")) & (extra < F.col("size"))
-    first = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), 1, extra.cast("int")), " ")
-    rows = rows.select("doc", F.when(cut, first).otherwise(F.col("doc.text")).alias("text"))
-
-    def column(name: str) -> Column:
-        if name == "text":
-            return F.col("text")
-        if name == "n_chars":
-            return F.length("text").cast(docs.schema[name].dataType).alias(name)
-        return F.col(f"doc.`{name}`").alias(name)
-
-    return rows.select(*map(column, docs.columns))
+    times = F.col("epochs").cast("int") + F.when(2 * extra >= F.col("size"), 1).otherwise(0)
+    times = F.when(F.col("size") > 0, times).otherwise(0)
+    return rows.where(times > 0).select("doc", F.explode(F.array_repeat(F.lit(1), times))).select("doc.*")
 
 
 ORACLE = r"""

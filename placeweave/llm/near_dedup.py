@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from placeweave.llm.common import joined_small, saved, slices
+from placeweave.llm.common import joined_small, lean, saved, slices
 from placeweave.llm.components import components
 from placeweave.llm.shingles import mixed_bits, overlap, shingle_sets
 
@@ -61,37 +61,67 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array([own.get(k) for k in keys], pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
 
 
-def _pairs(rows: list[tuple], fresh: int, percent: int) -> Iterator[tuple[int, int, int]]:
-    """(l, r, tree) of rows (tree, sig, id, n) in order: those from ``fresh`` on, each with the REACH before it."""
-    for i in range(fresh, len(rows)):
-        tree, sig, own, n = rows[i]
-        for j in range(max(0, i - REACH), i):
-            other = rows[j]
-            if other[0] == tree and other[1][: 4 * MIN_DEPTH] == sig[: 4 * MIN_DEPTH] and own != other[2] and 100 * min(n, other[3]) >= percent * max(n, other[3]):
-                yield min(own, other[2]), max(own, other[2]), tree
+class _Rows:
+    """Rows (tree, sig, id, n) in order, as arrays."""
+
+    def __init__(self, tree: np.ndarray, sig: np.ndarray, own: np.ndarray, n: np.ndarray):
+        self.columns = (tree, sig, own, n)
+
+    @classmethod
+    def of(cls, tree: pa.Array, sig: pa.Array, own: pa.Array, n: pa.Array) -> _Rows:
+        data = np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(sig), 4 * DEPTH)
+        return cls(tree.to_numpy(zero_copy_only=False), data, own.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False))
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def __getitem__(self, at: slice) -> _Rows:
+        return _Rows(*(x[at] for x in self.columns))
+
+    def __add__(self, other: _Rows) -> _Rows:
+        return _Rows(*map(np.concatenate, zip(self.columns, other.columns, strict=True)))
+
+    def pairs(self, fresh: int, percent: int) -> list[np.ndarray]:
+        """(l, r, tree) of the rows from ``fresh`` on, each with the REACH before it."""
+        tree, sig, own, n = self.columns
+        prefix = np.ascontiguousarray(sig[:, : 4 * MIN_DEPTH]).view(f"S{4 * MIN_DEPTH}").ravel() if len(self) else sig[:, 0]
+        out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
+        for step in range(1, REACH + 1):
+            later = np.arange(max(fresh, step), len(self))
+            before = later - step
+            fits = (tree[later] == tree[before]) & (prefix[later] == prefix[before]) & (own[later] != own[before])
+            fits &= 100 * np.minimum(n[later], n[before]) >= percent * np.maximum(n[later], n[before])
+            a, b = own[later[fits]], own[before[fits]]
+            for to, x in zip(out, (np.minimum(a, b), np.maximum(a, b), tree[later[fits]]), strict=True):
+                to.append(x)
+        return [np.concatenate(x) for x in out]
 
 
 def _neighbours(percent: int):
     """Streams a range of the order; its first and last REACH rows come again as edges, each once, to be met with those of other ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, last, head, seen = TaskContext.get().partitionId(), [], [], 0
+        task, last, head, seen = TaskContext.get().partitionId(), None, None, 0
+        names = ["l", "r", "tree", "sig", "task", "at"]
 
-        def out(pairs: list[tuple], edges: list[tuple]) -> pa.RecordBatch:
-            both = [(l, r, t, None, None, None) for l, r, t in pairs] + [(own, n, tree, sig, task, at) for at, (tree, sig, own, n) in edges]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in both], k) for i, k in enumerate(kinds)], names=["l", "r", "tree", "sig", "task", "at"])
+        def edges(rows: _Rows, first: int) -> pa.RecordBatch:
+            tree, sig, own, n = rows.columns
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(n, pa.int64()), pa.array(tree, pa.int32()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([task] * len(rows), pa.int32()), pa.array(np.arange(first, first + len(rows)), pa.int64())], names=names)
 
         for batch in batches:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            pairs = list(_pairs(last + rows, len(last), percent))
-            if len(head) < REACH:
-                head += rows[: REACH - len(head)]
-            last = (last + rows)[-REACH:]
+            rows = _Rows.of(*(batch.column(i) for i in range(4)))
+            both = rows if last is None else last + rows
+            l, r, tree = both.pairs(len(both) - len(rows), percent)
+            if head is None or len(head) < REACH:
+                head = rows[:REACH] if head is None else (head + rows)[:REACH]
+            last = both[-REACH:]
             seen += len(rows)
-            yield out(pairs, [])
-        tail = max(len(head), seen - len(last))  # a short range's last rows are among its first
-        yield out([], list(enumerate(head)) + [(i, last[i - seen]) for i in range(tail, seen)])
+            none = (pa.nulls(len(l), kind) for kind in (pa.binary(), pa.int32(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(l, pa.int64()), pa.array(r, pa.int64()), pa.array(tree, pa.int32()), *none], names=names)
+        if head is not None:
+            yield edges(head, 0)
+            tail = max(len(head), seen - len(last))  # a short range's last rows are among its first
+            yield edges(last[len(last) - (seen - tail) :] if tail < seen else last[:0], tail)
 
     return run
 
@@ -105,9 +135,9 @@ def candidates(classes: DataFrame, percent: int) -> DataFrame:
     found = saved(ranges.mapInArrow(_neighbours(percent), "l long, r long, tree int, sig binary, task int, at long"), "order")
 
     def stitch(edges: pd.DataFrame) -> pd.DataFrame:
-        edges = edges.sort_values(["task", "at"])
-        met = list(_pairs(list(zip(edges["tree"], edges["sig"], edges["l"], edges["r"], strict=True)), 0, percent))
-        return pd.DataFrame(met, columns=["l", "r", "tree"]).astype({"l": "int64", "r": "int64", "tree": "int32"})
+        edges = pa.Table.from_pandas(edges.sort_values(["task", "at"]), preserve_index=False).combine_chunks()
+        met = _Rows.of(*(edges[c].chunk(0) for c in ("tree", "sig", "l", "r"))).pairs(0, percent)
+        return pd.DataFrame(dict(zip(("l", "r", "tree"), met, strict=True))).astype({"l": "int64", "r": "int64", "tree": "int32"})
 
     edges = found.where("task is not null").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(stitch, "l long, r long, tree int")  # at most 2 REACH rows a range
     return found.where("task is null").select("l", "r", "tree").union(edges).groupBy("l", "r").agg(F.min("tree").alias("tree"))
@@ -213,6 +243,7 @@ def crowded(classes: DataFrame, root: DataFrame, docs: DataFrame, percent: int)
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text)."""
+    lean(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = saved(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, set_key binary, sig binary"), "sketches")
     linked = rows.where("set_key is not null and doc_id is not null")
