@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from placeweave.llm import toxicity
 
@@ -119,3 +120,61 @@ def test_sample_is_bounded(spark, monkeypatch):
     assert all(sum(len(t) for t, y in zip(texts, found, strict=True) if y == label) <= 800 for label in (0, 1)) and len(texts) > 25
     toxicity.fit(docs, labels)
     assert sum(t.startswith("copy") for t in seen[1][0]) == 1 and len(seen[1][0]) == 60  # the id that is labelled both ways is left out
+
+
+def marked(n, seed, words=40):
+    """Documents of which every fourth has two of many words that give it away, so that a few documents do not show them all."""
+    rng = random.Random(seed)
+    texts = []
+    for i in range(n):
+        w = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(5, 60))]
+        if i % 4 == 0:
+            for _ in range(2):
+                w.insert(rng.randrange(len(w)), f"bad{rng.randrange(words)}")
+        texts.append(" ".join(w))
+    return texts, [int(i % 4 == 0) for i in range(n)]
+
+
+def test_documents_beyond_the_sample_are_learnt_from(spark):
+    texts, labels = marked(2000, 9)
+    docs = spark.createDataFrame([(i, t, "en" if i % 3 else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks, per_label=20)
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 == 0]
+    score = model.score(pa.array([texts[i] for i in held]), model.tables())
+    assert np.mean((score >= 0.5) == np.array([labels[i] for i in held])) > 0.97
+    long = docs.withColumn("text", F.concat(F.lit("x " * 100), "text"))  # none of these texts fits
+    model = toxicity.fit(long, marks, chars=100)
+    score = model.score(pa.array([texts[i] for i in held]), model.tables())
+    assert np.mean((score >= 0.5) == np.array([labels[i] for i in held])) > 0.97
+
+
+def test_counts_and_cuts_of_many_shards(spark):
+    texts, labels = marked(1500, 11)
+    rows = [(i, t, ["en", "de", None][i % 3]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([*rows, *rows[:50], (3, "another text of an id", "en"), (5000, "not labelled", "en")], "doc_id long, text string, lang string")
+    usable = spark.createDataFrame([*enumerate(labels), (7000, 1)], "id__ long, toxic__ int")
+    model = toxicity.refine(docs, usable, None, shard=5000)
+    again = toxicity.refine(docs.repartition(7), usable, None, shard=5000)
+    assert all((a == b).all() for a, b in zip(model.weights(), again.weights(), strict=True)) and (model.shift, model.cuts) == (again.shift, again.cuts)
+    coded = toxicity._encoded(docs, usable)
+    own = {r.doc__: r.own__ for r in coded.collect()}
+    assert coded.count() == 1500 == len(own)
+    seqs = {r.doc__: np.frombuffer(r.seq__, np.int32) for r in coded.collect()}
+    assert sum((seqs[i] == toxicity.word_buckets(pa.array([t]))[0]).all() for i, t in enumerate(texts) if i != 3) == 1499
+    known, _ = toxicity._vocabulary([s for i, s in seqs.items() if not own[i]], np.array([labels[i] for i in seqs if not own[i]]))
+    assert (model.known == known).all()
+
+    ids = np.array([i for i in range(1500) if own[i] and i != 3])
+    y, logits = np.array(labels)[ids], model.logits(pa.array([texts[i] for i in ids]), model.tables())
+
+    def f1(z, y, cut):
+        return 2 * y[z >= cut].sum() / ((z >= cut).sum() + y.sum())
+
+    assert abs(f1(logits, y, model.shift) - max(f1(logits, y, c) for c in logits)) < 0.01
+    assert set(model.cuts) == {"en", "de"}
+    for r, lang in enumerate(("en", "de")):
+        z, cut = logits[ids % 3 == r] - model.shift, np.log(model.cuts[lang] / (1 - model.cuts[lang]))
+        assert abs(f1(z, y[ids % 3 == r], cut) - max(f1(z, y[ids % 3 == r], c) for c in z)) < 0.02
+    one = toxicity.refine(docs, usable.where("toxic__ = 1"), None)
+    assert one.prior == 1.0 and toxicity.refine(docs, usable.limit(0), None).prior == 0.0
